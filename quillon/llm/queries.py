@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import exact_dedup, sentencepiece_bpe, token_counts
+from quillon.llm import exact_dedup, jaccard_join, mixing, secrets, sentencepiece_bpe, token_counts, toxicity
 from quillon.llm.common import read
 
 
@@ -13,21 +13,94 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(read(spark, sf_dir, "documents"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"))
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(read(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 QUERIES = {
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_jaccard_join": op3_jaccard_join,
+    "op4_mixing": op4_mixing,
+    "op5_secrets": op5_secrets,
     "op6_exact_dedup": op6_exact_dedup,
+    "op8_toxicity": op8_toxicity,
     "op9_token_counts": op9_token_counts,
 }
 
+def _found(kind: str, pattern: str, least: str) -> str:
+    """DuckDB SQL: rows of (doc_id, kind, start, stop, value) for one pattern."""
+    return f"""
+        SELECT doc_id, '{kind}' AS kind, source,
+               unnest(list_transform(range(1, len(m) + 1), lambda i: struct_pack(
+                   "start" := list_sum(list_transform(p[1:i], lambda x: length(x)))::BIGINT
+                              + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)::BIGINT,
+                   hit := m[i]))) AS s
+        FROM (SELECT doc_id, source, regexp_extract_all(coalesce(text, ''), {pattern}) AS m,
+                     string_split_regex(coalesce(text, ''), {pattern}) AS p FROM documents)
+        WHERE len(m) > 0 {least}"""
+
+
+def _sql(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+_ASSIGNED = f"regexp_extract(s.hit, {_sql(secrets.ASSIGN)}, 2)"
+_SECRETS_SQL = f"""
+    WITH a AS ({_found("assign", _sql(secrets.ASSIGN), "")}),
+    base AS (
+        SELECT doc_id, 0 AS k, kind, source, s.start AS b, s.start + length(s.hit) AS e, {_ASSIGNED} AS value
+        FROM a WHERE length({_ASSIGNED}) >= 12
+        UNION ALL SELECT doc_id, 1, kind, source, s.start, s.start + length(s.hit), s.hit
+        FROM ({_found("access", _sql("AKIA[A-Z0-9]+"), "")}) WHERE length(s.hit) >= 18
+        UNION ALL SELECT doc_id, 2, kind, source, s.start, s.start + length(s.hit), s.hit
+        FROM ({_found("hex", _sql("[0-9a-f]+"), "")}) WHERE length(s.hit) >= 16
+    ), bare AS (
+        SELECT doc_id, 3 AS k, 'owned' AS kind, source, s.start AS b, s.start + length(s.hit) AS e, s.hit AS value
+        FROM ({_found("owned", _sql(secrets.BARE), "")})
+    ), mixed AS (
+        SELECT * FROM base UNION ALL
+        SELECT * FROM bare x WHERE regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]')
+            AND regexp_matches(value, '[0-9]') AND len(list_distinct(string_split(value, ''))) >= 12
+            AND NOT EXISTS (SELECT 1 FROM base y WHERE y.doc_id = x.doc_id AND y.b < x.e AND x.b < y.e)
+    ), owners AS (
+        SELECT value, count(DISTINCT coalesce('o' || source, 'n')) < {secrets.WIDE} AS live FROM mixed GROUP BY value
+    ), told AS (SELECT * FROM mixed JOIN owners USING (value) WHERE k < 3 OR live),
+    per AS (
+        SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access,
+               count(*) FILTER (k = 2) AS n_hex,
+               string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, k) FILTER (k < 3) AS base,
+               string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, k) AS spans,
+               count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_copied
+        FROM told GROUP BY doc_id
+    )
+    SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+           sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+           coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+    FROM documents LEFT JOIN per USING (doc_id)
+"""
+
 ORACLE_SQL = {
+    "op5_secrets": _SECRETS_SQL,
     "op6_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, length(coalesce(text, '')) AS n_chars,
