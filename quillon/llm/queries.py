@@ -5,10 +5,25 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import exact_dedup, jaccard_join, mixing, secrets, sentencepiece_bpe, token_counts, toxicity
+from quillon.llm import (
+    ann_tree,
+    exact_dedup,
+    jaccard_join,
+    line_dedup,
+    mixing,
+    ppm,
+    secrets,
+    sentencepiece_bpe,
+    token_counts,
+    toxicity,
+)
 from quillon.llm.common import read
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(read(spark, sf_dir, "documents"))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -29,6 +44,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_tree.nearest(read(spark, sf_dir, "embeddings"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -37,14 +56,21 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.lm_scores(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_mixing": op4_mixing,
     "op5_secrets": op5_secrets,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_nearest": op7_nearest,
     "op8_toxicity": op8_toxicity,
     "op9_token_counts": op9_token_counts,
+    "op10_lm_scores": op10_lm_scores,
 }
 
 def _found(kind: str, pattern: str, least: str) -> str:

@@ -12,10 +12,12 @@ layer turns a document's sentence scores and counts of telling words into its sc
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -52,25 +54,32 @@ def vectors(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word, subsequence code, weight) of the normalised kernel vectors, sorted by word."""
     inner = ["\x01" + w[:LONGEST] + "\x02" for w in words]
     size = np.array([len(w) for w in inner], np.int64)
-    char = np.frombuffer("".join(inner).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    raw = np.frombuffer("".join(inner).encode("utf-32-le", "surrogatepass"), np.uint32)
+    alphabet, char = np.unique(raw, return_inverse=True)
+    if len(alphabet) >= 1 << 15 or len(words) >= 1 << 18:
+        half = len(words) // 2
+        (a, b, c), (x, y, z) = vectors(words[:half]), vectors(words[half:])
+        return np.r_[a, x + half], np.r_[b, y], np.r_[c, z]
+    char = char.astype(np.int64)
     end = np.repeat(np.cumsum(size), size)
-    word = np.repeat(np.arange(len(words)), size)
+    first = np.repeat(np.arange(len(words), dtype=np.int64), size) << 45 | char << 30
     at = np.arange(len(char))
-    codes, owners, weights = [], [], []
+    keys, weights = [], []
     for _, j, k in STEPS:
-        ok = at + k < end
-        i = at[ok]
-        codes.append(char[i] << 42 | char[i + j] << 21 | char[i + k])
-        owners.append(word[i])
+        i = at[: len(at) - k][at[k:] < end[: len(at) - k]]
+        keys.append(first[i] | char[i + j] << 15 | char[i + k])
         weights.append(np.full(len(i), DECAY ** (k + 1.0)))
-    code, owner, weight = map(np.concatenate, (codes, owners, weights))
-    order = np.lexsort((code, owner))
-    code, owner, weight = code[order], owner[order], weight[order]
-    if not len(code):
-        return owner, code, weight
-    head = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (owner[1:] != owner[:-1])])
-    code, owner, weight = code[head], owner[head], np.add.reduceat(weight, head)
+    key, weight = np.concatenate(keys), np.concatenate(weights)
+    if not len(key):
+        return key, key, weight
+    order = np.argsort(key)
+    key, weight = key[order], weight[order]
+    head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    key, weight = key[head], np.add.reduceat(weight, head)
+    owner = key >> 45
     norm = np.sqrt(np.bincount(owner, weight * weight, len(words)))
+    wide = alphabet.astype(np.int64)
+    code = wide[key >> 30 & 0x7FFF] << 42 | wide[key >> 15 & 0x7FFF] << 21 | wide[key & 0x7FFF]
     return owner, code, weight / norm[owner]
 
 
@@ -279,9 +288,17 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 2500, most_chars:
     return fit([r.text for r in rows], [r.toxic for r in rows])
 
 
+@lru_cache(maxsize=2)
+def _memory(name: str) -> dict[str, float]:
+    """Word margins of the model of this name that this worker remembers."""
+    return {}
+
+
 def _scores(model: Model):
+    name = hashlib.sha256(model.codes.tobytes() + model.weights.tobytes()).hexdigest()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, float] = {}
+        known = _memory(name)
         for batch in batches:
             score = model.score(texts_of(batch.column(1)), known)
             yield pa.RecordBatch.from_arrays(
