@@ -6,7 +6,7 @@ corpus-wide count of hashed shingles, rare first, those prefixes cut the classes
 groups. Within a group a hierarchy of nodes holds OR-combined bitmaps and size ranges of the sets
 below; a dual traversal drops node pairs whose largest possible overlap is too small. (3) What is
 left is compared set by set. Groups of near copies would still give all their pairs, so classes
-are first linked to one fellow of their group each, and node pairs that lie in one component
+are first linked to a few fellows of their groups, and node pairs that lie in one component
 already are dropped as well: every link that could join two components is tried.
 """
 
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ WORDS, PERCENT = 5, 75
 COUNTERS, SLICES = 1 << 20, 64
 #: Bits of a set's bitmap, sets of one leaf, and members of a group that one task compares.
 BITS, LEAF, BLOCK = 1024, 32, 20_000
-#: Rounds of linking each class to one fellow before the trees.
+#: Fellows that each class is compared with before the trees.
 ROUNDS = 3
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -50,21 +51,31 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str, known: WordHashes, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word n-grams of a text, A-Z lower-cased.
+def shingle_sets(texts: list[str], known: WordHashes, words: int = WORDS) -> list[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its word n-grams, A-Z lower-cased.
 
     A text of fewer words is one n-gram by itself; a text without words has none.
     """
-    split = text.encode("utf-8", "surrogatepass").lower().split()
-    n = min(words, len(split))
-    if not n:
-        return np.zeros(0, np.uint64)
-    word = np.array([known[w] for w in split], np.uint64)
-    count = len(word) - n + 1
-    out = np.full(count, n, np.uint64)
-    for k in range(n):
-        out = _mixed(out * ODD + word[k : k + count])
-    return np.unique(out)
+    split = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
+    sizes = [len(x) for x in split]
+    word = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.uint64, sum(sizes))
+    gram = np.zeros(max(0, len(word) - words + 1), np.uint64)
+    for k in range(words):
+        gram = gram * ODD + word[k : k + len(gram)]
+    gram = _mixed(gram)
+    out, at = [], 0
+    for size in sizes:
+        if size >= words:
+            out.append(np.unique(gram[at : at + size - words + 1]))
+        elif size:
+            whole = np.full(1, size, np.uint64)
+            for k in range(size):
+                whole = whole * ODD + word[at + k : at + k + 1]
+            out.append(_mixed(whole))
+        else:
+            out.append(word[:0])
+        at += size
+    return out
 
 
 def class_of(found: np.ndarray) -> int:
@@ -79,23 +90,27 @@ def _signed(values) -> np.ndarray:
     return np.asarray(values, np.uint64).view(np.int64)
 
 
+def _bitmap(found: np.ndarray) -> bytes:
+    return np.packbits(np.bincount((found >> np.uint64(40)).astype(np.int64) % BITS, minlength=BITS) > 0).tobytes()
+
+
 def _marks(words: int):
-    """Rows (doc_id, n, cls) of documents, and the partition's shingle counts in slices."""
+    """Rows (doc_id, n, cls, bits) of documents, and the partition's shingle counts in slices."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = WordHashes(), np.zeros(COUNTERS, np.uint32)
-        names = ["doc_id", "n", "cls", "slice", "counts"]
+        names = ["doc_id", "n", "cls", "bits", "slice", "counts"]
         for batch in batches:
-            sets = [shingles(t, known, words) for t in texts_of(batch.column(1))]
+            sets = shingle_sets(texts_of(batch.column(1)), known, words)
             if len(sets):
-                joined = np.concatenate(sets)
-                np.add.at(counts, (joined % np.uint64(COUNTERS)).astype(np.int64), 1)
+                np.add.at(counts, (np.concatenate(sets) % np.uint64(COUNTERS)).astype(np.int64), 1)
             none = len(sets)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array(_signed([class_of(s) for s in sets])),
+                    pa.array([_bitmap(s) for s in sets], pa.binary()),
                     pa.nulls(none, pa.int32()),
                     pa.nulls(none, pa.binary()),
                 ],
@@ -106,6 +121,7 @@ def _marks(words: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     *(pa.nulls(SLICES, pa.int64()) for _ in range(3)),
+                    pa.nulls(SLICES, pa.binary()),
                     pa.array(range(SLICES), pa.int32()),
                     pa.array(parts, pa.binary()),
                 ],
@@ -126,6 +142,10 @@ def _add_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(wide)], ["slice", "counts"])
 
 
+def _prefix(n: int, percent: int) -> int:
+    return n - -(-percent * n // 100) + 1
+
+
 def _prefixes(order, words: int, percent: int):
     """Rows (key, cls): the first shingles of each set, rare ones first."""
 
@@ -134,14 +154,14 @@ def _prefixes(order, words: int, percent: int):
         for batch in batches:
             keys, owners = [], []
             done: set[int] = set()
-            for text in texts_of(batch.column(1)):
-                found = shingles(text, known, words)
+            for found in shingle_sets(texts_of(batch.column(1)), known, words):
                 own = class_of(found)
                 if not len(found) or own in done:
                     continue
                 done.add(own)
-                first = len(found) - -(-percent * len(found) // 100) + 1
-                at = np.lexsort((found, counts[(found % np.uint64(COUNTERS)).astype(np.int64)]))[:first]
+                # In rising order of the count, then of the hash.
+                first = _prefix(len(found), percent)
+                at = np.argsort(counts[(found % np.uint64(COUNTERS)).astype(np.int64)], kind="stable")[:first]
                 keys.append(found[at])
                 owners.append(np.full(first, own, np.uint64))
             if keys:
@@ -181,21 +201,19 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(words: int):
-    """Rows (cls, n, found, bits) of texts."""
+    """Rows (cls, n, found) of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
-            sets = [shingles(t, known, words) for t in texts_of(batch.column(1))]
-            bits = [np.packbits(np.bincount((s >> np.uint64(40)).astype(np.int64) % BITS, minlength=BITS) > 0) for s in sets]
+            sets = shingle_sets(texts_of(batch.column(0)), known, words)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(_signed([class_of(s) for s in sets])),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([_signed(s) for s in sets], pa.list_(pa.int64())),
-                    pa.array([b.tobytes() for b in bits], pa.binary()),
                 ],
-                ["cls", "n", "found", "bits"],
+                ["cls", "n", "found"],
             )
 
     return run
@@ -280,25 +298,27 @@ def _leaves(n: np.ndarray, comp: np.ndarray, packed: list[bytes]) -> Nodes:
 
 
 def _tried(percent: int):
-    """Rows sorted by block: the pairs of each block that its signature tree leaves over."""
+    """Rows sorted by block: (a, b, times), the pairs that the blocks' signature trees leave over
+    and in how many blocks each was."""
 
-    def pairs(part: list[tuple[np.ndarray, ...]], done: set) -> tuple[np.ndarray, np.ndarray]:
+    def pairs(part: list[tuple[np.ndarray, ...]], done: dict) -> tuple[np.ndarray, np.ndarray]:
         cls, n, comp, half, bits = (np.concatenate(x) for x in zip(*part, strict=True))
-        order = np.lexsort((n, comp))
+        order = np.lexsort((cls, n, comp))
         cls, n, comp, half, bits = cls[order], n[order], comp[order], half[order], bits[order]
         mark = xxhash.xxh3_128_digest(cls.tobytes() + half.tobytes())
         if mark in done:  # many keys have the same members
-            return cls[:0], cls[:0]
-        if len(done) < 200_000:
-            done.add(mark)
+            return done[mark]
         i, j = tree_pairs(_leaves(n, comp, bits.tolist()), percent)
         # In a block made of two shares of a group, pairs within a share belong to other blocks.
         keep = (half[i] != half[j]) | (half[i] < 0)
-        return np.minimum(cls[i], cls[j])[keep], np.maximum(cls[i], cls[j])[keep]
+        found = np.minimum(cls[i], cls[j])[keep], np.maximum(cls[i], cls[j])[keep]
+        if len(done) < 100_000 and len(found[0]) < 100:
+            done[mark] = found
+        return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
-        block, done = None, set()
+        block, done = None, {}
         for batch in batches:
             name = batch.column(0).to_numpy(zero_copy_only=False)
             cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(1, 6)]
@@ -319,12 +339,33 @@ def _tried(percent: int):
 
 
 def _pair_batch(out: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    a, b = (np.concatenate(x) for x in zip(*out, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+    pairs = np.stack([np.concatenate(x) for x in zip(*out, strict=True)])
+    pairs, times = np.unique(pairs, axis=1, return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(times)], ["a", "b", "times"])
+
+
+def _near(percent: int):
+    """Of rows (a, b, n_a, bits_a, n_b, bits_b) the pairs whose bitmaps let them link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = np.concatenate([batch.column(k).to_numpy() for k in (2, 4)])
+            packed = batch.column(3).to_pylist() + batch.column(5).to_pylist()
+            half = len(batch)
+            nodes = _leaves(n, np.arange(2 * half), packed)
+            keep = possible(nodes, np.arange(half), np.arange(half) + half, percent)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
+
+    return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link; sets are met one side at a time."""
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets link. Only the sets of these classes are made again."""
+    pairs = cut(pairs, "jaccard-pairs")
+    wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+    ids = classes.join(wanted, "cls", "left_semi").select("doc_id")
+    sets = docs.join(ids, "doc_id", "left_semi").select("text")
+    sets = cut(sets.mapInArrow(_sets(words), "cls long, n long, found array<long>"), "jaccard-sets")
     left = sets.select(F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("found").alias("found_a"))
     right = sets.select(F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("found").alias("found_b"))
     both = pairs.join(left, "a").join(right, "b")
@@ -357,7 +398,10 @@ def jaccard_join(
     small_batches(spark)
     docs = pick(docs, id_col, text_col).toDF("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     marked = cut(
-        docs.mapInArrow(_marks(words), "doc_id long, n long, cls long, slice int, counts binary"), "jaccard-marks"
+        docs.mapInArrow(
+            _marks(words), "doc_id long, n long, cls long, bits binary, slice int, counts binary"
+        ),
+        "jaccard-marks",
     )
     summed = (
         marked.where("slice IS NOT NULL")
@@ -370,7 +414,7 @@ def jaccard_join(
     for row in summed:
         order[row["slice"]] = np.frombuffer(row["counts"], np.uint32)
     order = spark.sparkContext.broadcast(order.tobytes())
-    marked = marked.where("slice IS NULL").select("doc_id", "n", "cls")
+    marked = marked.where("slice IS NULL").drop("slice", "counts")
     own = docs.where("doc_id IS NOT NULL")
     members = cut(
         own.mapInArrow(_prefixes(order, words, percent), "key long, cls long")
@@ -380,26 +424,18 @@ def jaccard_join(
         "jaccard-members",
     )
     classes = marked.where("n > 0 AND doc_id IS NOT NULL").groupBy("cls").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n").alias("n")
+        F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("bits").alias("bits")
     )
     classes = cut(classes.join(members.select("cls").distinct(), "cls", "left_semi"), "jaccard-classes")
-    texts = own.join(classes.select("doc_id"), "doc_id", "left_semi")
-    sets = texts.mapInArrow(_sets(words), "cls long, n long, found array<long>, bits binary")
-    sets = cut(sets.where("n > 0"), "jaccard-sets")
-
     members = members.join(classes.select("cls", "n"), "cls")
-    links, comps = None, None
-    for turn in range(ROUNDS):
-        pairs = _to_fellows(_with_comps(members, comps), turn, percent)
-        fresh = cut(_verified(pairs, sets, percent), "jaccard-links")
-        if not fresh.limit(1).count():
-            break
-        links = fresh if links is None else links.unionByName(fresh)
-        comps = components(links)
-    left = _apart(_with_comps(members, comps))
-    fresh = cut(_verified(_tree_candidates(left, sets, percent), sets, percent), "jaccard-links")
-    links = fresh if links is None else links.unionByName(fresh)
-    comps = components(links)
+    seeds = _to_fellows(members, 0, percent)
+    for turn in range(1, ROUNDS):
+        seeds = seeds.unionByName(_to_fellows(members, turn, percent))
+    links = cut(_verified(_possible(seeds.distinct(), classes, percent), own, classes, words, percent), "jaccard-links")
+    left = _apart(_with_comps(members, components(links)))
+    last = _verified(_tree_candidates(left, classes, percent), own, classes, words, percent)
+    comps = components(links.unionByName(last))
+    marked = marked.drop("bits")
     group = marked.join(comps, marked["cls"] == comps["node"], "left").select(
         "doc_id", "n", "cls", F.coalesce("comp", "cls").alias("comp")
     )
@@ -413,32 +449,39 @@ def jaccard_join(
     )
 
 
-def _with_comps(members: DataFrame, comps: DataFrame | None) -> DataFrame:
-    if comps is None:
-        return members.withColumn("comp", F.col("cls"))
+def _with_comps(members: DataFrame, comps: DataFrame) -> DataFrame:
     joined = members.join(comps, members["cls"] == comps["node"], "left")
     return joined.select("key", "cls", "n", F.coalesce("comp", "cls").alias("comp"))
 
 
 def _to_fellows(rows: DataFrame, turn: int, percent: int) -> DataFrame:
-    """(a, b): for each class one fellow of another component, the one it meets most.
+    """(a, b): for each class one fellow, the one that it meets most.
 
-    In each group the fellow is the class with the smallest hash, another one each turn.
+    In each group the fellow is the class with the smallest hash, another one each turn. These
+    links only join what is plainly together; the trees look at all the rest.
     """
-    pick_ = F.struct(F.xxhash64("cls", F.lit(turn)).alias("h"), "cls", "n", "comp")
-    chosen = rows.groupBy("key").agg(
-        F.min(pick_).alias("to"), F.min("comp").alias("c0"), F.max("comp").alias("c1")
-    )
-    chosen = chosen.where("c0 != c1").select("key", "to")
+    chosen = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("cls", F.lit(turn)).alias("h"), "cls", "n")).alias("to"))
     met = (
         rows.join(chosen, "key")
-        .where("comp != to.comp")
+        .where("cls != to.cls")
         .where((F.lit(100) * F.least("n", "to.n")) >= (F.lit(percent) * F.greatest("n", "to.n")))
         .groupBy("cls", F.col("to.cls").alias("fellow"))
         .agg(F.count(F.lit(1)).alias("times"))
     )
     best = met.groupBy("cls").agg(F.max_by("fellow", F.struct("times", "fellow")).alias("fellow"))
-    return best.select(F.col("cls").alias("a"), F.col("fellow").alias("b"))
+    return best.select(F.least("cls", "fellow").alias("a"), F.greatest("cls", "fellow").alias("b"))
+
+
+def _sided(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """a, b with n_a, bits_a, n_b, bits_b."""
+    for side in ("a", "b"):
+        own = classes.select(F.col("cls").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}"))
+        pairs = pairs.join(own, side)
+    return pairs.select("a", "b", "n_a", "bits_a", "n_b", "bits_b")
+
+
+def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    return _sided(pairs, classes).mapInArrow(_near(percent), "a long, b long")
 
 
 def _apart(rows: DataFrame) -> DataFrame:
@@ -449,7 +492,7 @@ def _apart(rows: DataFrame) -> DataFrame:
     return rows.join(spread.where("c0 != c1").select("key", "size"), "key")
 
 
-def _tree_candidates(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _tree_candidates(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """(a, b) that signature trees over each group leave. A large group is dealt in blocks: its
     members fall into shares, and each pair of shares is a block of its own."""
     shares = F.ceil(F.col("size") / BLOCK)
@@ -468,12 +511,19 @@ def _tree_candidates(rows: DataFrame, sets: DataFrame, percent: int) -> DataFram
     )
     # A block of two shares needs both: the row (share, other) and its mirror carry one name.
     out = halves.select(block.alias("block"), "cls", "n", "comp", F.col("half").cast("int").alias("half"))
-    bits = sets.groupBy("cls").agg(F.first("bits").alias("bits"))
-    return (
-        out.join(bits, "cls")
+    met = (
+        out.join(classes.select("cls", "bits"), "cls")
         .select("block", "cls", "n", "comp", "half", "bits")
         .repartition("block")
         .sortWithinPartitions("block")
-        .mapInArrow(_tried(percent), "a long, b long")
-        .distinct()
+        .mapInArrow(_tried(percent), "a long, b long, times long")
+        .groupBy("a", "b")
+        .agg(F.sum("times").alias("times"))
     )
+    # Two sets share at most the keys of their groups and what lies behind one of the prefixes.
+    sizes = classes.select("cls", "n")
+    for side in ("a", "b"):
+        met = met.join(sizes.select(F.col("cls").alias(side), F.col("n").alias(f"n_{side}")), side)
+    behind = F.ceil(F.lit(percent) * F.greatest("n_a", "n_b") / 100) - 1
+    least = F.ceil(F.lit(percent) * (F.col("n_a") + F.col("n_b")) / (100 + percent))
+    return met.where(F.col("times") + behind >= least).select("a", "b")
