@@ -4,30 +4,41 @@ The trie of contexts of up to ORDER bytes is built from all training texts and n
 one place: it is the table of counted grams (context and next byte), cut by the last two bytes of
 the context, so each share holds whole subtrees. In a context with T observations of q different
 bytes an escape to the next shorter context has probability q / 2T and a byte seen n times
-(2n - 1) / 2T; bytes that the longer context has seen are excluded from these counts. What is scored is the text as its tokens give it: A-Z
-lower-cased, words apart by one space, then an end. Texts are dealt in blocks; a block asks the trie for its distinct grams, and the token counts for its distinct words.
+(2n - 1) / 2T; bytes that the longer context has seen are excluded from these counts. What is scored is the text as its tokens give it: A-Z lower-cased, words apart by one space,
+then an end.
+
+Scoring needs each gram's value and each token's count beside the texts. While both tables are
+within a size that is checked first they are broadcast; beyond it texts are dealt in blocks, and
+each block is sent the values of its own distinct grams and tokens.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import pick, small_batches, texts_of
+from quillon.llm.common import cut, pick, small_batches, texts_of
 
 #: Context bytes. Symbols: 256 bytes, END behind a text; START fills contexts before it.
 ORDER = 5
 END, START, BITS = 256, 257, 9
 ALPHABET = 257
 #: Characters of one block of texts, and bytes of a text gone through at a time.
-BLOCK_CHARS, PART = 16_000_000, 2_000_000
+BLOCK_CHARS, PART = 32_000_000, 2_000_000
+#: Entries after which a partial count is sent on, and words a worker remembers.
+HELD, REMEMBERED = 1_000_000, 300_000
+#: Rows of the two tables up to which they are broadcast: 64 and 96 MB.
+MOST_GRAMS, MOST_TOKENS = 4_000_000, 8_000_000
 STOP = b""  # the end token; no word is empty
 
 
@@ -139,11 +150,15 @@ def _gram_counts(order: int):
         for block, parts in _by_block(batches):
             key, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
             for texts, training in parts:
-                found = [grams(tokens(t), order) for t in texts]
-                weight = np.repeat(np.array(training, np.int64), [len(x) for x in found])
-                own, n = _summed(np.concatenate(found), weight)
-                key, count = _summed(np.concatenate([key, own]), np.concatenate([count, n]))
-            yield from _sliced([pa.array(np.full(len(key), block)), pa.array(key), pa.array(count)], ["block", "gram", "n"])
+                for used in (True, False):
+                    some = [grams(tokens(t), order) for t, u in zip(texts, training, strict=True) if u == used]
+                    if some:
+                        own, n = np.unique(np.concatenate(some), return_counts=True)
+                        key, count = _summed(np.r_[key, own], np.r_[count, n if used else 0 * n])
+                if len(key) > HELD:
+                    yield from _sliced([np.full(len(key), block), key, count], ["block", "gram", "n"])
+                    key, count = key[:0], count[:0]
+            yield from _sliced([np.full(len(key), block), key, count], ["block", "gram", "n"])
 
     return run
 
@@ -152,20 +167,22 @@ def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """Rows (block, token, n) from texts sorted by block; n counts training texts only."""
     for block, parts in _by_block(batches):
         count: Counter[bytes] = Counter()
-        other: set[bytes] = set()
         for texts, training in parts:
             for text, used in zip(texts, training, strict=True):
                 if used:
                     count.update(tokens(text))
                 else:
-                    other.update(tokens(text))
-        count.update(dict.fromkeys(other - count.keys(), 0))
-        cols = [
-            pa.array(np.full(len(count), block)),
-            pa.array(list(count), pa.binary()),
-            pa.array(list(count.values()), pa.int64()),
-        ]
-        yield from _sliced(cols, ["block", "token", "n"])
+                    for token in set(tokens(text)):
+                        count[token] += 0
+            if len(count) > HELD // 4:
+                yield from _token_rows(block, count)
+                count = Counter()
+        yield from _token_rows(block, count)
+
+
+def _token_rows(block: int, count: Counter[bytes]) -> Iterator[pa.RecordBatch]:
+    cols = [np.full(len(count), block), pa.array(list(count), pa.binary()), pa.array(list(count.values()), pa.int64())]
+    return _sliced(cols, ["block", "token", "n"])
 
 
 def _by_block(batches: Iterator[pa.RecordBatch]):
@@ -195,8 +212,8 @@ def _parts(rows):
         yield texts, training
 
 
-def _sliced(cols: list[pa.Array], names: list[str], rows: int = 50_000) -> Iterator[pa.RecordBatch]:
-    whole = pa.RecordBatch.from_arrays(cols, names)
+def _sliced(cols: list, names: list[str], rows: int = 50_000) -> Iterator[pa.RecordBatch]:
+    whole = pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], names)
     for at in range(0, len(whole), rows):
         yield whole.slice(at, rows)
 
@@ -218,45 +235,127 @@ def _share_log_probs(order: int):
     return run
 
 
+class Lookup:
+    """Values by 64-bit key, for keys that are all there: buckets of hashed keys, a few in each."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        mixed = self._mixed(keys)
+        order = np.argsort(mixed)
+        self.mixed, self.values = mixed[order], values[order]
+        self.shift = np.uint64(64 - max(1, int(len(keys)).bit_length()))
+        self.start = np.searchsorted(self.mixed >> self.shift, np.arange((1 << (64 - int(self.shift))) + 1, dtype=np.uint64))
+        self.start = self.start.astype(np.int32)
+
+    @staticmethod
+    def _mixed(keys: np.ndarray) -> np.ndarray:
+        x = keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        wanted = self._mixed(keys)
+        at = self.start[(wanted >> self.shift).astype(np.int64)]
+        miss = np.flatnonzero(self.mixed[np.minimum(at, len(self.mixed) - 1)] != wanted)
+        while len(miss):
+            at[miss] += 1
+            miss = miss[self.mixed[at[miss]] != wanted[miss]]
+        return self.values[at]
+
+
+def _scored(texts: list[str], order: int, count_of, value_of: Lookup) -> dict[str, list]:
+    """n_tokens, n_known, base (before the common norm) and score of each text. count_of: the
+    training counts of a list of tokens."""
+    split = [tokens(t) for t in texts]
+    sizes = np.array([len(w) for w in split])
+    seen = count_of(split)
+    ends = np.cumsum(sizes)
+    head = ends - sizes
+    out = {
+        "n_tokens": sizes.tolist(),
+        "n_known": np.add.reduceat(seen > 0, head, dtype=np.int64).tolist(),
+        "base": np.add.reduceat(np.log10(seen + 0.5), head).tolist(),
+        "score": [],
+    }
+    part, held = [], 0
+    for at, words in enumerate(split):
+        part.append(grams(words, order))
+        held += len(part[-1])
+        if held >= PART or at == len(split) - 1:
+            values = value_of(np.concatenate(part))
+            starts = np.cumsum([0, *map(len, part[:-1])])
+            out["score"] += np.add.reduceat(values, starts).tolist()
+            part, held = [], 0
+    return out
+
+
+def _score_rows(order: int, gram_table, token_table):
+    """Scores of texts with both tables at hand. Tokens are looked up by hash, which the caller
+    has checked to be unlike for unlike tokens."""
+    name = uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if name not in _LOADED:
+            _LOADED.clear()
+            keys, values = (np.frombuffer(x, t) for x, t in zip(gram_table.value, (np.int64, np.float64), strict=True))
+            hashes, counts = (np.frombuffer(x, np.int64) for x in token_table.value)
+            _LOADED[name] = Lookup(keys, values), Lookup(hashes, counts), {}
+        value_of, by_hash, known = _LOADED[name]
+
+        def count_of(split: list[list[bytes]]) -> np.ndarray:
+            if len(known) > REMEMBERED:
+                known.clear()
+            fresh = list({w for words in split for w in words if w not in known})
+            if fresh:
+                hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in fresh], np.uint64).view(np.int64)
+                known.update(zip(fresh, by_hash(hashes).tolist(), strict=True))
+            return np.array([known[w] for words in split for w in words], float)
+
+        for batch in batches:
+            if len(batch):
+                found = _scored(texts_of(batch.column(1)), order, count_of, value_of)
+                cols = [batch.column(0), batch.column(2), *(pa.array(x) for x in found.values())]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", *found])
+
+    return run
+
+
+#: The tables of the broadcast that this worker has unpacked.
+_LOADED: dict = {}
+
+
 def _score_block(order: int):
     """Scores of a block's documents from the values of its grams and the counts of its tokens."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        is_gram = right["token"].is_null().to_numpy()
-        gram = right["gram"].to_numpy(zero_copy_only=False)[is_gram].astype(np.int64)
-        value = right["value"].to_numpy()
-        sort = np.argsort(gram)
-        gram, prob = gram[sort], value[is_gram][sort]
-        counted = right.filter(pa.array(~is_gram))
+        counted = right.filter(pa.compute.is_valid(right["token"]))
         count = dict(zip(counted["token"].to_pylist(), counted["value"].to_pylist(), strict=True))
-        n_tokens, n_known, base, score = [], [], [], []
-        for text in texts_of(left["text"]):
-            words = tokens(text)
-            seen = np.fromiter(map(count.__getitem__, words), float, len(words))
-            n_tokens.append(len(words))
-            n_known.append(int((seen > 0).sum()))
-            base.append(float(np.log10(seen + 0.5).sum()))
-            score.append(float(prob[np.searchsorted(gram, grams(words, order))].sum()))
-        return pa.table(
-            {
-                "doc_id": left["doc_id"],
-                "held_out": left["held_out"],
-                "n_tokens": pa.array(n_tokens, pa.int64()),
-                "n_known": pa.array(n_known, pa.int64()),
-                "base": pa.array(base, pa.float64()),
-                "score": pa.array(score, pa.float64()),
-            }
-        )
+        valued = right.filter(pa.compute.is_null(right["token"]))
+        value_of = Lookup(valued["gram"].to_numpy(), valued["value"].to_numpy())
+
+        def count_of(split: list[list[bytes]]) -> np.ndarray:
+            return np.array([count[w] for words in split for w in words], float)
+
+        found = _scored(texts_of(left["text"]), order, count_of, value_of)
+        return pa.table({"doc_id": left["doc_id"], "held_out": left["held_out"], **found})
 
     return run
 
 
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
+
+
 def held_out(doc_id: Column, folds: int = 5, fold: int = 1) -> Column:
     """Whether crc32 of the id as text leaves this remainder; false for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def lm_scores(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def lm_scores(
+    docs: DataFrame,
+    order: int = ORDER,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    most_grams: int = MOST_GRAMS,
+    most_tokens: int = MOST_TOKENS,
+) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     base_score: log10 of the smoothed unigram probability of the tokens. score: log10 probability
@@ -267,20 +366,50 @@ def lm_scores(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_
     """
     if not 3 <= order <= 6:
         raise ValueError("order must be 3 to 6: a gram is one 64-bit number and shares are cut at two bytes")
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     docs = pick(docs, id_col, text_col).toDF("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(chars / BLOCK_CHARS))
-    rows = docs.select(
-        F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"),
+    rows = docs.withColumn("held_out", held_out(F.col("doc_id")))
+    plain = rows.select(F.lit(0).cast("long").alias("block"), "text", (~F.col("held_out")).alias("training"))
+    values = plain.mapInArrow(_gram_counts(order), GRAMS).groupBy("gram").agg(F.sum("n").alias("n"))
+    values = cut(_values(cut(values, "lm-grams"), order), "lm-values")
+    vocabulary = plain.mapInArrow(_token_counts, TOKENS).groupBy("token").agg(F.sum("n").alias("c"))
+    vocabulary = cut(vocabulary.withColumn("hash", F.xxhash64("token")), "lm-tokens")
+    totals = vocabulary.agg(
+        F.coalesce(F.sum("c"), F.lit(0).cast("long")).alias("train_tokens"),
+        F.count_if(F.col("c") > 0).alias("v"),
+    )
+    n_grams, n_tokens = values.count(), vocabulary.count()
+    small = n_grams <= most_grams and n_tokens <= most_tokens
+    if small and vocabulary.select("hash").distinct().count() == n_tokens:
+        table = values.toArrow()
+        gram_table = spark.sparkContext.broadcast(
+            (table["gram"].to_numpy().tobytes(), table["value"].to_numpy().tobytes())
+        )
+        table = vocabulary.select("hash", "c").toArrow()
+        token_table = spark.sparkContext.broadcast((table["hash"].to_numpy().tobytes(), table["c"].to_numpy().tobytes()))
+        del table
+        ordered = rows.select("doc_id", "text", "held_out")
+        scored = ordered.mapInArrow(_score_rows(order, gram_table, token_table), SCORES)
+    else:
+        scored = _by_blocks(rows, values, vocabulary, order)
+    norm = F.log10(F.col("train_tokens") + 0.5 * (F.col("v") + 1))
+    return scored.crossJoin(F.broadcast(totals)).select(
         "doc_id",
-        "text",
-        held_out(F.col("doc_id")).alias("held_out"),
-    ).repartition("block")
-    sorted_ = rows.select("block", "text", (~F.col("held_out")).alias("training")).sortWithinPartitions("block")
+        "held_out",
+        "n_tokens",
+        "n_known",
+        "train_tokens",
+        (F.col("base") - F.col("n_tokens") * norm).alias("base_score"),
+        "score",
+    )
+
 
-    counted = sorted_.mapInArrow(_gram_counts(order), "block long, gram long, n long").repartition("gram")
-    total = counted.groupBy("gram").agg(F.sum("n").alias("n"))
+GRAMS, TOKENS = "block long, gram long, n long", "block long, token binary, n long"
+
+
+def _values(total: DataFrame, order: int) -> DataFrame:
+    """gram, value: log10 probabilities. total: gram, n (0 where only held-out texts have it)."""
     last = (1 << 2 * BITS) - 1
     total = total.withColumn("context2", F.shiftright("gram", BITS).bitwiseAND(F.lit(last)))
     used = total.where("n > 0")
@@ -294,38 +423,28 @@ def lm_scores(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_
         ends.crossJoin(F.broadcast(none)).withColumn("size", F.lit(0))
     )
     lower = lower.select(*[F.col(c).alias(c) for c in lower.columns])
-    values = (
+    return (
         total.select(*[F.col(c).alias(c) for c in total.columns])
         .groupBy("context2")
         .cogroup(lower.groupBy("context2"))
         .applyInArrow(_share_log_probs(order), "gram long, value double")
     )
-    asked_grams = counted.join(values, "gram").select(
-        "block", "gram", F.lit(None).cast("binary").alias("token"), "value"
-    )
-    words = sorted_.mapInArrow(_token_counts, "block long, token binary, n long").repartition("token")
-    vocabulary = words.groupBy("token").agg(F.sum("n").alias("c"))
+
+
+def _by_blocks(rows: DataFrame, values: DataFrame, vocabulary: DataFrame, order: int) -> DataFrame:
+    """Scores where the tables are too large to broadcast."""
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = max(1, math.ceil(chars / BLOCK_CHARS))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).repartition("block")
+    sorted_ = dealt.select("block", "text", (~F.col("held_out")).alias("training")).sortWithinPartitions("block")
+    asked = cut(sorted_.mapInArrow(_gram_counts(order), GRAMS).select("block", "gram").distinct(), "lm-asked")
+    asked_grams = asked.join(values, "gram").select("block", "gram", F.lit(None).cast("binary").alias("token"), "value")
+    words = cut(sorted_.mapInArrow(_token_counts, TOKENS).select("block", "token").distinct(), "lm-asked")
     asked_words = words.join(vocabulary, "token").select(
         "block", F.lit(None).cast("long").alias("gram"), "token", F.col("c").cast("double").alias("value")
     )
-    totals = vocabulary.agg(
-        F.coalesce(F.sum("c"), F.lit(0).cast("long")).alias("train_tokens"), F.count_if(F.col("c") > 0).alias("v")
-    )
-    scored = (
-        rows.groupBy("block")
+    return (
+        dealt.groupBy("block")
         .cogroup(asked_grams.unionByName(asked_words).groupBy("block"))
-        .applyInArrow(
-            _score_block(order),
-            "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double",
-        )
-    )
-    norm = F.log10(F.col("train_tokens") + 0.5 * (F.col("v") + 1))
-    return scored.crossJoin(F.broadcast(totals)).select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        "n_known",
-        "train_tokens",
-        (F.col("base") - F.col("n_tokens") * norm).alias("base_score"),
-        "score",
+        .applyInArrow(_score_block(order), SCORES)
     )
