@@ -28,10 +28,12 @@ from quillon.llm.graph import components
 WORDS, PERCENT = 5, 75
 #: Counters of hashed shingles: 4 MB, whatever the input. They only choose an order.
 COUNTERS, SLICES = 1 << 20, 64
-#: Bits of a set's bitmap, sets of one leaf, and members of a group that one task compares.
-BITS, LEAF, BLOCK = 1024, 32, 20_000
-#: Fellows that each class is compared with before the trees.
-ROUNDS = 3
+#: A bitmap has twice its set's size in bits, rounded up to a power of two within these.
+FEWEST, MOST = 256, 1 << 15
+#: Sets of one leaf, and members of a group that one task compares.
+LEAF, BLOCK = 32, 20_000
+#: Fellows that each class is compared with at first, and rounds for those still apart.
+FELLOWS, ROUNDS = 3, 4
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -91,7 +93,18 @@ def _signed(values) -> np.ndarray:
 
 
 def _bitmap(found: np.ndarray) -> bytes:
-    return np.packbits(np.bincount((found >> np.uint64(40)).astype(np.int64) % BITS, minlength=BITS) > 0).tobytes()
+    bits = min(MOST, max(FEWEST, 1 << (2 * len(found) - 1).bit_length())) if len(found) else FEWEST
+    marks = np.zeros(bits, bool)
+    marks[(found >> np.uint64(40)).astype(np.int64) & (bits - 1)] = True
+    return np.packbits(marks).tobytes()
+
+
+def _folded(packed: bytes, size: int) -> bytes:
+    """A bitmap brought to fewer bytes: bits that then coincide are OR-combined."""
+    while len(packed) > size:
+        half = len(packed) // 2
+        packed = (int.from_bytes(packed[:half]) | int.from_bytes(packed[half:])).to_bytes(half)
+    return packed
 
 
 def _marks(words: int):
@@ -292,11 +305,27 @@ def tree_pairs(leaves: Nodes, percent: int = PERCENT) -> tuple[np.ndarray, np.nd
 
 
 def _leaves(n: np.ndarray, comp: np.ndarray, packed: list[bytes]) -> Nodes:
-    bits = np.frombuffer(b"".join(packed), np.uint64).reshape(len(n), BITS // 64)
+    bits = np.frombuffer(b"".join(packed), np.uint64).reshape(len(n), -1)
     spare = n - np.bitwise_count(bits).sum(1, dtype=np.int64)
     return Nodes(bits, n, n, spare, comp, np.ones(len(n), bool))
 
 
+def _pairs_by_width(n, comp, packed: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that trees leave over. Sets that link have bitmaps of one width or of neighbouring
+    ones, so each tree holds the sets of a width and, folded, those of the next."""
+    width = np.array([len(b) for b in packed])
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for own in np.unique(width).tolist():
+        among = np.flatnonzero((width == own) | (width == 2 * own))
+        if len(among) > 1:
+            leaves = _leaves(n[among], comp[among], [_folded(packed[k], own) for k in among.tolist()])
+            i, j = (among[x] for x in tree_pairs(leaves, percent))
+            here = (width[i] == own) | (width[j] == own)
+            left.append(i[here])
+            right.append(j[here])
+    return np.concatenate(left), np.concatenate(right)
+
+
 def _tried(percent: int):
     """Rows sorted by block: (a, b, times), the pairs that the blocks' signature trees leave over
     and in how many blocks each was."""
@@ -308,7 +337,7 @@ def _tried(percent: int):
         mark = xxhash.xxh3_128_digest(cls.tobytes() + half.tobytes())
         if mark in done:  # many keys have the same members
             return done[mark]
-        i, j = tree_pairs(_leaves(n, comp, bits.tolist()), percent)
+        i, j = _pairs_by_width(n, comp, bits.tolist(), percent)
         # In a block made of two shares of a group, pairs within a share belong to other blocks.
         keep = (half[i] != half[j]) | (half[i] < 0)
         found = np.minimum(cls[i], cls[j])[keep], np.maximum(cls[i], cls[j])[keep]
@@ -349,33 +378,41 @@ def _near(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = np.concatenate([batch.column(k).to_numpy() for k in (2, 4)])
-            packed = batch.column(3).to_pylist() + batch.column(5).to_pylist()
-            half = len(batch)
-            nodes = _leaves(n, np.arange(2 * half), packed)
-            keep = possible(nodes, np.arange(half), np.arange(half) + half, percent)
+            n_a, n_b = (batch.column(k).to_numpy() for k in (2, 4))
+            bits_a, bits_b = (batch.column(k).to_pylist() for k in (3, 5))
+            width = np.array([min(len(x), len(y)) for x, y in zip(bits_a, bits_b, strict=True)])
+            keep = np.zeros(len(batch), bool)
+            for own in np.unique(width).tolist():
+                rows = np.flatnonzero(width == own)
+                packed = [_folded(bits[k], own) for bits in (bits_a, bits_b) for k in rows.tolist()]
+                nodes = _leaves(np.r_[n_a[rows], n_b[rows]], np.arange(2 * len(rows)), packed)
+                at = np.arange(len(rows))
+                keep[rows] = possible(nodes, at, at + len(rows), percent)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
 
     return run
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link. Only the sets of these classes are made again."""
-    pairs = cut(pairs, "jaccard-pairs")
+def _sets_of(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """cls, n, found of the classes in these pairs, made again from one text each."""
     wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
     ids = classes.join(wanted, "cls", "left_semi").select("doc_id")
-    sets = docs.join(ids, "doc_id", "left_semi").select("text")
-    sets = cut(sets.mapInArrow(_sets(words), "cls long, n long, found array<long>"), "jaccard-sets")
+    texts = docs.join(ids, "doc_id", "left_semi").select("text")
+    return cut(texts.mapInArrow(_sets(words), "cls long, n long, found array<long>"), "jaccard-sets")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets link."""
     left = sets.select(F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("found").alias("found_a"))
     right = sets.select(F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("found").alias("found_b"))
-    both = pairs.join(left, "a").join(right, "b")
     shared = F.size(F.array_intersect("found_a", "found_b"))
-    return (
-        both.withColumn("shared", shared)
+    linked = (
+        pairs.join(left, "a")
+        .join(right, "b")
+        .withColumn("shared", shared)
         .where(F.lit(100) * F.col("shared") >= F.lit(percent) * (F.col("n_a") + F.col("n_b") - F.col("shared")))
-        .select("a", "b")
-        .distinct()
     )
+    return cut(linked.select("a", "b").distinct(), "jaccard-links")
 
 
 def jaccard_join(
@@ -429,12 +466,24 @@ def jaccard_join(
     classes = cut(classes.join(members.select("cls").distinct(), "cls", "left_semi"), "jaccard-classes")
     members = members.join(classes.select("cls", "n"), "cls")
     seeds = _to_fellows(members, 0, percent)
-    for turn in range(1, ROUNDS):
+    for turn in range(1, FELLOWS):
         seeds = seeds.unionByName(_to_fellows(members, turn, percent))
-    links = cut(_verified(_possible(seeds.distinct(), classes, percent), own, classes, words, percent), "jaccard-links")
-    left = _apart(_with_comps(members, components(links)))
-    last = _verified(_tree_candidates(left, classes, percent), own, classes, words, percent)
-    comps = components(links.unionByName(last))
+    seeds = cut(_possible(seeds.distinct(), classes, percent), "jaccard-pairs")
+    sets = _sets_of(seeds, own, classes, words)
+    links = _verified(seeds, sets, percent)
+    comps = components(links)
+    met = cut(members.join(sets.select("cls").distinct(), "cls", "left_semi"), "jaccard-members")
+    for turn in range(FELLOWS, FELLOWS + ROUNDS):
+        rest = _apart(_with_comps(met, comps))
+        fresh = _verified(_possible(_to_fellows(rest, turn, percent), classes, percent), sets, percent)
+        if not fresh.limit(1).count():
+            break
+        links = links.unionByName(fresh)
+        comps = components(links)
+    left = _apart(_with_comps(members, comps))
+    last = cut(_tree_candidates(left, classes, percent), "jaccard-pairs")
+    links = links.unionByName(_verified(last, _sets_of(last, own, classes, words), percent))
+    comps = components(links)
     marked = marked.drop("bits")
     group = marked.join(comps, marked["cls"] == comps["node"], "left").select(
         "doc_id", "n", "cls", F.coalesce("comp", "cls").alias("comp")
@@ -460,16 +509,18 @@ def _to_fellows(rows: DataFrame, turn: int, percent: int) -> DataFrame:
     In each group the fellow is the class with the smallest hash, another one each turn. These
     links only join what is plainly together; the trees look at all the rest.
     """
-    chosen = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("cls", F.lit(turn)).alias("h"), "cls", "n")).alias("to"))
+    apart = "comp" in rows.columns
+    named = ["cls", "n", "comp"] if apart else ["cls", "n"]
+    chosen = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("cls", F.lit(turn)).alias("h"), *named)).alias("to"))
     met = (
         rows.join(chosen, "key")
-        .where("cls != to.cls")
+        .where("comp != to.comp" if apart else "cls != to.cls")
         .where((F.lit(100) * F.least("n", "to.n")) >= (F.lit(percent) * F.greatest("n", "to.n")))
         .groupBy("cls", F.col("to.cls").alias("fellow"))
         .agg(F.count(F.lit(1)).alias("times"))
     )
     best = met.groupBy("cls").agg(F.max_by("fellow", F.struct("times", "fellow")).alias("fellow"))
-    return best.select(F.least("cls", "fellow").alias("a"), F.greatest("cls", "fellow").alias("b"))
+    return best.select(F.least("cls", "fellow").alias("a"), F.greatest("cls", "fellow").alias("b")).distinct()
 
 
 def _sided(pairs: DataFrame, classes: DataFrame) -> DataFrame:
