@@ -4,12 +4,14 @@ A polynomial rolling hash over the hashes of the last lines says where a chunk e
 lines give the same chunks wherever they stand in a text, once the window has passed their start.
 A line of many words is a chunk of its own. Chunks of several lines, or of one such long line,
 that occur again anywhere in the corpus are removed after their bytes have been compared; the
-first occurrence stays. A task first settles its own repeats, so however often a chunk occurs,
-each task sends it on once.
+first occurrence stays. Chunk hashes are counted first, and only chunks whose hash may repeat are
+compared. A task settles its own repeats, so however often a chunk occurs, each task sends it on
+once.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import cut, pick, small_batches
+from quillon.llm.common import cut, pick, small_batches, texts_of
 
 #: Lines of the rolling window; one in MEAN windows ends a chunk; lines of a chunk at least; words
 #: that make a line a chunk by itself.
@@ -26,6 +28,8 @@ WINDOW, MEAN, LEAST, LONG = 2, 2, 2, 50
 FACTOR, MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 #: Characters whose repeats a task settles by itself at a time; bounds its memory.
 SETTLED = 16_000_000
+#: Bits, 4 MB, that repeated hashes set. A bit set by another hash costs a comparison, no more.
+BITS = 1 << 25
 
 
 def chunks(text: str) -> list[tuple[int, int, bool]]:
@@ -65,40 +69,86 @@ def _part(lines: list[str], begin: int, end: int) -> bytes:
 LEADERS = "doc_id long, mark long, no int, hash long, part binary"
 
 
-def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of LEADERS: the first of each chunk here with its bytes, its repeats without."""
-    firsts: dict[bytes, tuple] = {}
-    repeats: list[tuple] = []
-    size = 0
+def _hash(part: bytes) -> int:
+    return xxhash.xxh64_intdigest(part)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (hash, n): how often the chunks that may be removed occur here."""
+    count: Counter[int] = Counter()
+
+    def rows() -> pa.RecordBatch:
+        hashes = np.fromiter(count.keys(), np.uint64, len(count)).view(np.int64)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(hashes), pa.array(list(count.values()), pa.int64())], ["hash", "n"]
+        )
+
     for batch in batches:
-        ids, marks = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-        for doc_id, text, mark in zip(ids, batch.column(1).to_pylist(), marks, strict=True):
-            lines = (text or "").split("\n")
-            for no, (begin, end, may) in enumerate(chunks(text or "")):
-                if not may:
-                    continue
-                part = _part(lines, begin, end)
-                own = (doc_id is None, doc_id or 0, mark, no)
-                held = firsts.get(part)  # equal bytes, not only equal hashes
-                if held is None:
-                    firsts[part] = own
-                elif own < held:
-                    firsts[part] = own
-                    repeats.append((held, part))
-                elif own != held:
-                    repeats.append((own, part))
-            size += len(text or "")
-        if size > SETTLED:
-            yield from _flush(firsts, repeats)
-            firsts, repeats, size = {}, [], 0
-    yield from _flush(firsts, repeats)
+        for text in texts_of(batch.column(0)):
+            lines = text.split("\n")
+            count.update(_hash(_part(lines, begin, end)) for begin, end, may in chunks(text) if may)
+        if len(count) > 200_000:
+            yield rows()
+            count.clear()
+    yield rows()
+
+
+def _repeat_bits(docs: DataFrame) -> bytes:
+    """BITS bits, those of hashes that occur more than once set."""
+    counts = docs.select("text").mapInArrow(_counted, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    slot = F.pmod("hash", F.lit(BITS))
+    words = (
+        counts.where("n > 1")
+        .groupBy(F.shiftright(slot, 5).cast("int").alias("word"))
+        .agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), slot.bitwiseAND(F.lit(31)).cast("int"))).alias("bits"))
+        .toArrow()
+    )
+    out = np.zeros(BITS // 32, np.uint32)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
+    return out.tobytes()
+
+
+def _settled(repeats_of):
+    """Rows of LEADERS: the first of each chunk here with its bytes, its repeats without; of
+    chunks whose hash has its bit set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(repeats_of.value, np.uint32)
+        firsts: dict[bytes, tuple] = {}
+        repeats: list[tuple] = []
+        size = 0
+        for batch in batches:
+            ids, marks = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            for doc_id, text, mark in zip(ids, texts_of(batch.column(1)), marks, strict=True):
+                lines = text.split("\n")
+                for no, (begin, end, may) in enumerate(chunks(text)):
+                    part = _part(lines, begin, end) if may else b""
+                    slot = _hash(part) % BITS
+                    if not may or not bits[slot >> 5] >> (slot & 31) & 1:
+                        continue
+                    own = (doc_id is None, doc_id or 0, mark, no)
+                    held = firsts.get(part)  # equal bytes, not only equal hashes
+                    if held is None:
+                        firsts[part] = own
+                        size += len(part)
+                    elif own < held:
+                        firsts[part] = own
+                        repeats.append((held, part))
+                    elif own != held:
+                        repeats.append((own, part))
+            if size > SETTLED or len(repeats) > 200_000:
+                yield from _flush(firsts, repeats)
+                firsts, repeats, size = {}, [], 0
+        yield from _flush(firsts, repeats)
+
+    return run
 
 
 def _flush(firsts: dict[bytes, tuple], repeats: list[tuple]) -> Iterator[pa.RecordBatch]:
     rows = [(own, part, part) for part, own in firsts.items()] + [(own, part, None) for own, part in repeats]
     for at in range(0, len(rows), 2_000):
         some = rows[at : at + 2_000]
-        hashes = np.array([xxhash.xxh64_intdigest(part) for _, part, _ in some], np.uint64).view(np.int64)
+        hashes = np.array([_hash(part) for _, part, _ in some], np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([None if own[0] else own[1] for own, _, _ in some], pa.int64()),
@@ -136,7 +186,8 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def removals(docs: DataFrame) -> DataFrame:
     """doc_id, mark, nos: the numbers of the chunks to be removed. docs: doc_id, text, mark."""
-    sent = cut(docs.select("doc_id", "text", "mark").mapInArrow(_settled, LEADERS), "line-chunks")
+    bits = docs.sparkSession.sparkContext.broadcast(_repeat_bits(docs))
+    sent = cut(docs.select("doc_id", "text", "mark").mapInArrow(_settled(bits), LEADERS), "line-chunks")
     firsts = (
         sent.where("part IS NOT NULL")
         .select("hash", F.col("doc_id"), "mark", "no", "part")
