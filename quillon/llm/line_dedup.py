@@ -96,11 +96,11 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _repeat_bits(docs: DataFrame) -> bytes:
     """BITS bits, those of hashes that occur more than once set."""
     counts = docs.select("text").mapInArrow(_counted, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
-    slot = F.pmod("hash", F.lit(BITS))
     words = (
         counts.where("n > 1")
-        .groupBy(F.shiftright(slot, 5).cast("int").alias("word"))
-        .agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), slot.bitwiseAND(F.lit(31)).cast("int"))).alias("bits"))
+        .selectExpr(f"CAST(pmod(hash, {BITS}) AS int) AS slot")
+        .groupBy(F.shiftright("slot", 5).alias("word"))
+        .agg(F.expr("bit_or(shiftleft(1L, slot & 31))").alias("bits"))
         .toArrow()
     )
     out = np.zeros(BITS // 32, np.uint32)
