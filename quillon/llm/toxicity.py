@@ -13,6 +13,7 @@ layer turns a document's sentence scores and counts of telling words into its sc
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -280,14 +281,19 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000, most_chars:
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     sample = known.where("toxic = 1").orderBy(*order).limit(per_class)
     sample = sample.unionByName(known.where("toxic = 0").orderBy(*order).limit(per_class))
-    rows = (
-        docs.join(F.broadcast(sample), "doc_id")
-        .where(F.length("text") <= most_chars)
-        .select("doc_id", "text", "toxic")
-        .collect()
-    )
-    rows.sort(key=lambda r: (r.doc_id, r.text))
-    return fit([r.text for r in rows], [r.toxic for r in rows])
+    rows = docs.join(F.broadcast(sample), "doc_id").where(F.length("text") <= most_chars)
+    made = rows.select("doc_id", "text", "toxic").repartition(1).mapInArrow(_fitted, "model binary").first()
+    return pickle.loads(made["model"]) if made else fit([], [])
+
+
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of all rows (doc_id, text, toxic), as one row; the sample is bounded."""
+    rows: list[tuple] = []
+    for batch in batches:
+        rows += zip(*(c.to_pylist() for c in batch.columns), strict=True)
+    rows.sort()
+    model = fit([r[1] for r in rows], [r[2] for r in rows])
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
 
 @lru_cache(maxsize=2)
