@@ -31,9 +31,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it."""
-    copies = mixing.mix(docs).select("doc_id", "copies").where("copies > 0")
-    taken = docs.join(copies, "doc_id")
+    """Each document as many times as the mix takes it; rows that share an id as often as the one
+    of them that it takes most."""
+    copies = mixing.mix(docs).groupBy(F.col("doc_id").alias("of")).agg(F.max("copies").alias("copies"))
+    taken = docs.join(copies.where("copies > 0"), F.col("doc_id").eqNullSafe(F.col("of")))
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*docs.columns)
 
 
