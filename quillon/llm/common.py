@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,3 +54,23 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 def texts_of(column: pa.ChunkedArray | pa.Array) -> list[str]:
     """Python strings of a text column; null is the empty text."""
     return [x or "" for x in column.to_pylist()]
+
+
+#: Bits, 4 MB, of a filter by hash. More rows set more bits and let more through, never less.
+FILTER_BITS = 1 << 25
+
+
+def filter_bits(slots: DataFrame) -> bytes:
+    """FILTER_BITS bits, those named in the one column (int) set."""
+    name = slots.columns[0]
+    words = (
+        slots.groupBy(F.shiftright(name, 5).alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, {name} & 31))").alias("bits")).toArrow()
+    )
+    out = np.zeros(FILTER_BITS // 32, np.uint32)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
+    return out.tobytes()
+
+
+def passes(bits: bytes, slots: np.ndarray) -> np.ndarray:
+    """Which slots have their bit set."""
+    return np.frombuffer(bits, np.uint32)[slots >> 5] >> (slots & 31).astype(np.uint32) & 1 > 0

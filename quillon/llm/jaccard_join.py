@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +21,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import cut, pick, small_batches, texts_of
+from quillon.llm.common import FILTER_BITS, cut, filter_bits, passes, pick, small_batches, texts_of
 from quillon.llm.graph import components
 
 WORDS, PERCENT = 5, 75
 #: Counters of hashed shingles: 4 MB, whatever the input. They only choose an order.
 COUNTERS, SLICES = 1 << 20, 64
-#: A bitmap has twice its set's size in bits, rounded up to a power of two within these.
-FEWEST, MOST = 256, 1 << 15
+#: A bitmap has four times its set's size in bits, rounded up to a power of two within these.
+FEWEST, MOST = 256, 1 << 17
 #: Sets of one leaf, and members of a group that one task compares.
 LEAF, BLOCK = 32, 20_000
 #: Fellows that each class is compared with at first, and rounds for those still apart.
@@ -37,30 +36,76 @@ FELLOWS, ROUNDS = 3, 4
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-class WordHashes(dict):
-    """64-bit hashes of words met before; starts anew beyond a bound on memory."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_sets(texts: list[str], known: WordHashes, words: int = WORDS) -> list[np.ndarray]:
+def _white() -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[[9, 10, 11, 12, 13, 32]] = True
+    return out
+
+
+def _powers(base: int, count: int) -> np.ndarray:
+    out = np.ones(1, np.uint64)
+    while len(out) < count:
+        out = np.r_[out, out * np.uint64(pow(base, len(out), 1 << 64))]
+    return out[:count]
+
+
+#: Bytes whose words are hashed side by side.
+SLICE = 1 << 20
+#: A random number for each byte, and a random odd base with its inverse modulo 2**64.
+BYTES = np.random.default_rng(2024).integers(0, 1 << 64, 256, np.uint64)
+BASE = 0xD1342543DE82EF95
+UP, DOWN = _powers(BASE, SLICE), _powers(pow(BASE, -1, 1 << 64), SLICE)
+WHITE = _white()
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash, first byte) of each word between white space.
+
+    Running sums of byte numbers times powers of the base; a word's is the difference at its ends,
+    brought back to power zero. Slices end at white space.
+    """
+    hashes, firsts, at = [], [], 0
+    while at < len(data):
+        stop = min(len(data), at + SLICE)
+        part = np.frombuffer(data, np.uint8, stop - at, at)
+        if stop < len(data):
+            last = np.flatnonzero(WHITE[part])
+            if len(last):
+                part = part[: last[-1] + 1]
+            else:  # one word longer than a slice
+                rest = WHITE[np.frombuffer(data, np.uint8, offset=at)]
+                part = np.frombuffer(data, np.uint8, int(rest.argmax()) + 1 if rest.any() else len(data) - at, at)
+        n = len(part)
+        up, down = (UP, DOWN) if n <= SLICE else (_powers(BASE, n), _powers(pow(BASE, -1, 1 << 64), n))
+        white = WHITE[part]
+        edge = np.flatnonzero(np.diff(np.r_[True, white, True].view(np.int8)))
+        first, end = edge[::2], edge[1::2]
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(BYTES[part] * up[:n], out=sums[1:])
+        value = (sums[end] - sums[first]) * down[first]
+        hashes.append(_mixed(value + (end - first).astype(np.uint64)))
+        firsts.append(first + at)
+        at += n
+    if not hashes:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate(hashes), np.concatenate(firsts)
+
+
+def shingle_sets(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
     """For each text the sorted distinct 64-bit hashes of its word n-grams, A-Z lower-cased.
 
     A text of fewer words is one n-gram by itself; a text without words has none.
     """
-    split = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
-    sizes = [len(x) for x in split]
-    word = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.uint64, sum(sizes))
+    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    word, first = word_hashes(b"\n".join(raw).lower())
+    ends = np.cumsum([len(x) + 1 for x in raw])
+    sizes = np.diff(np.searchsorted(first, np.r_[0, ends])).tolist()
     gram = np.zeros(max(0, len(word) - words + 1), np.uint64)
     for k in range(words):
         gram = gram * ODD + word[k : k + len(gram)]
@@ -68,7 +113,8 @@ def shingle_sets(texts: list[str], known: WordHashes, words: int = WORDS) -> lis
     out, at = [], 0
     for size in sizes:
         if size >= words:
-            out.append(np.unique(gram[at : at + size - words + 1]))
+            found = np.sort(gram[at : at + size - words + 1])
+            out.append(found[np.r_[True, found[1:] != found[:-1]]])
         elif size:
             whole = np.full(1, size, np.uint64)
             for k in range(size):
@@ -93,7 +139,7 @@ def _signed(values) -> np.ndarray:
 
 
 def _bitmap(found: np.ndarray) -> bytes:
-    bits = min(MOST, max(FEWEST, 1 << (2 * len(found) - 1).bit_length())) if len(found) else FEWEST
+    bits = min(MOST, max(FEWEST, 1 << (4 * len(found) - 1).bit_length())) if len(found) else FEWEST
     marks = np.zeros(bits, bool)
     marks[(found >> np.uint64(40)).astype(np.int64) & (bits - 1)] = True
     return np.packbits(marks).tobytes()
@@ -107,16 +153,25 @@ def _folded(packed: bytes, size: int) -> bytes:
     return packed
 
 
+def _counted(sets: list[np.ndarray]) -> np.ndarray:
+    """How many hashes fall to each counter."""
+    joined = np.concatenate([*sets, np.zeros(0, np.uint64)])
+    return np.bincount((joined & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+
+
 def _marks(words: int):
     """Rows (doc_id, n, cls, bits) of documents, and the partition's shingle counts in slices."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = WordHashes(), np.zeros(COUNTERS, np.uint32)
+        counts, held, waiting = np.zeros(COUNTERS, np.int64), [], 0
         names = ["doc_id", "n", "cls", "bits", "slice", "counts"]
         for batch in batches:
-            sets = shingle_sets(texts_of(batch.column(1)), known, words)
-            if len(sets):
-                np.add.at(counts, (np.concatenate(sets) % np.uint64(COUNTERS)).astype(np.int64), 1)
+            sets = shingle_sets(texts_of(batch.column(1)), words)
+            held += sets
+            waiting += sum(map(len, sets))
+            if waiting > COUNTERS:
+                counts += _counted(held)
+                held, waiting = [], 0
             none = len(sets)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -129,6 +184,7 @@ def _marks(words: int):
                 ],
                 names,
             )
+        counts = np.minimum(counts + _counted(held), 0xFFFFFFFF).astype(np.uint32)
         if counts.any():
             parts = [zlib.compress(x.tobytes(), 1) for x in np.split(counts, SLICES)]
             yield pa.RecordBatch.from_arrays(
@@ -163,18 +219,18 @@ def _prefixes(order, words: int, percent: int):
     """Rows (key, cls): the first shingles of each set, rare ones first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = WordHashes(), np.frombuffer(order.value, np.uint32)
+        counts = np.frombuffer(order.value, np.uint32)
         for batch in batches:
             keys, owners = [], []
             done: set[int] = set()
-            for found in shingle_sets(texts_of(batch.column(1)), known, words):
+            for found in shingle_sets(texts_of(batch.column(1)), words):
                 own = class_of(found)
                 if not len(found) or own in done:
                     continue
                 done.add(own)
                 # In rising order of the count, then of the hash.
                 first = _prefix(len(found), percent)
-                at = np.argsort(counts[(found % np.uint64(COUNTERS)).astype(np.int64)], kind="stable")[:first]
+                at = np.argsort(counts[(found & np.uint64(COUNTERS - 1)).astype(np.int64)], kind="stable")[:first]
                 keys.append(found[at])
                 owners.append(np.full(first, own, np.uint64))
             if keys:
@@ -213,13 +269,13 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _sets(words: int):
-    """Rows (cls, n, found) of texts."""
+def _sets(wanted, words: int):
+    """Rows (cls, n, found) of texts whose slot passes the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for batch in batches:
-            sets = shingle_sets(texts_of(batch.column(0)), known, words)
+            batch = batch.filter(pa.array(passes(wanted.value, batch.column(1).to_numpy())))
+            sets = shingle_sets(texts_of(batch.column(0)), words)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(_signed([class_of(s) for s in sets])),
@@ -394,11 +450,15 @@ def _near(percent: int):
 
 
 def _sets_of(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
-    """cls, n, found of the classes in these pairs, made again from one text each."""
+    """cls, n, found of the classes in these pairs, made again from one text each. The ids go to
+    the texts as filter bits, so no text is moved; what the filter lets through besides goes in a
+    join."""
     wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    ids = classes.join(wanted, "cls", "left_semi").select("doc_id")
-    texts = docs.join(ids, "doc_id", "left_semi").select("text")
-    return cut(texts.mapInArrow(_sets(words), "cls long, n long, found array<long>"), "jaccard-sets")
+    wanted = cut(classes.join(wanted, "cls", "left_semi").select("cls", "doc_id"), "jaccard-wanted")
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).cast("int").alias("slot")
+    bits = docs.sparkSession.sparkContext.broadcast(filter_bits(wanted.select(slot)))
+    made = docs.select("text", slot).mapInArrow(_sets(bits, words), "cls long, n long, found array<long>")
+    return cut(made.join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "jaccard-sets")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import cut, pick, small_batches, texts_of
+from quillon.llm.common import FILTER_BITS, cut, filter_bits, pick, small_batches, texts_of
 
 #: Lines of the rolling window; one in MEAN windows ends a chunk; lines of a chunk at least; words
 #: that make a line a chunk by itself.
@@ -28,8 +28,6 @@ WINDOW, MEAN, LEAST, LONG = 2, 2, 2, 50
 FACTOR, MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 #: Characters whose repeats a task settles by itself at a time; bounds its memory.
 SETTLED = 16_000_000
-#: Bits, 4 MB, that repeated hashes set. A bit set by another hash costs a comparison, no more.
-BITS = 1 << 25
 
 
 def chunks(text: str) -> list[tuple[int, int, bool]]:
@@ -94,18 +92,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _repeat_bits(docs: DataFrame) -> bytes:
-    """BITS bits, those of hashes that occur more than once set."""
+    """Filter bits of the hashes that occur more than once."""
     counts = docs.select("text").mapInArrow(_counted, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
-    words = (
-        counts.where("n > 1")
-        .selectExpr(f"CAST(pmod(hash, {BITS}) AS int) AS slot")
-        .groupBy(F.shiftright("slot", 5).alias("word"))
-        .agg(F.expr("bit_or(shiftleft(1L, slot & 31))").alias("bits"))
-        .toArrow()
-    )
-    out = np.zeros(BITS // 32, np.uint32)
-    out[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
-    return out.tobytes()
+    return filter_bits(counts.where("n > 1").selectExpr(f"CAST(pmod(hash, {FILTER_BITS}) AS int) AS slot"))
 
 
 def _settled(repeats_of):
@@ -123,7 +112,7 @@ def _settled(repeats_of):
                 lines = text.split("\n")
                 for no, (begin, end, may) in enumerate(chunks(text)):
                     part = _part(lines, begin, end) if may else b""
-                    slot = _hash(part) % BITS
+                    slot = _hash(part) % FILTER_BITS
                     if not may or not bits[slot >> 5] >> (slot & 31) & 1:
                         continue
                     own = (doc_id is None, doc_id or 0, mark, no)
