@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -34,7 +36,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share; where none is named (tests), a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
-        named = "file://" + tempfile.mkdtemp(prefix="quillon-")
+        made = tempfile.mkdtemp(prefix="quillon-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        named = "file://" + made
         spark.conf.set("spark.checkpoint.dir", named)
     return named
 
@@ -43,10 +47,11 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """The rows, written to a table in the shared folder and read again.
 
     Lineage ends here: a lost executor costs no recomputation of what came before, and rows
-    used twice are made once.
+    used twice are made once. All tables of an application lie in one folder, which can go when
+    its results have been written.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/quillon-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
