@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ COUNTERS, SLICES = 1 << 20, 64
 #: A bitmap has four times its set's size in bits, rounded up to a power of two within these.
 FEWEST, MOST = 256, 1 << 17
 #: Sets of one leaf, and members of a group that one task compares.
-LEAF, BLOCK = 32, 20_000
+LEAF, BLOCK = 32, 5_000
 #: Fellows that each class is compared with at first, and rounds for those still apart.
 FELLOWS, ROUNDS = 3, 4
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -383,50 +385,59 @@ def _pairs_by_width(n, comp, packed: list[bytes], percent: int) -> tuple[np.ndar
 
 
 def _tried(percent: int):
-    """Rows sorted by block: (a, b, times), the pairs that the blocks' signature trees leave over
-    and in how many blocks each was."""
-
-    def pairs(part: list[tuple[np.ndarray, ...]], done: dict) -> tuple[np.ndarray, np.ndarray]:
-        cls, n, comp, half, bits = (np.concatenate(x) for x in zip(*part, strict=True))
-        order = np.lexsort((cls, n, comp))
-        cls, n, comp, half, bits = cls[order], n[order], comp[order], half[order], bits[order]
-        mark = xxhash.xxh3_128_digest(cls.tobytes() + half.tobytes())
-        if mark in done:  # many keys have the same members
-            return done[mark]
-        i, j = _pairs_by_width(n, comp, bits.tolist(), percent)
-        # In a block made of two shares of a group, pairs within a share belong to other blocks.
-        keep = (half[i] != half[j]) | (half[i] < 0)
-        found = np.minimum(cls[i], cls[j])[keep], np.maximum(cls[i], cls[j])[keep]
-        if len(done) < 100_000 and len(found[0]) < 100:
-            done[mark] = found
-        return found
+    """(a, b, times): the pairs that the blocks' signature trees leave over and in how many blocks
+    of a place each was. Rows are sorted by place; first come its classes (n, bits), then the
+    members of its blocks (comp, half)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        block, done = None, {}
-        for batch in batches:
-            name = batch.column(0).to_numpy(zero_copy_only=False)
-            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(1, 6)]
-            starts = np.flatnonzero(np.r_[True, name[1:] != name[:-1]]).tolist() if len(name) else []
-            out: list[tuple[np.ndarray, np.ndarray]] = []
-            for lo, hi in zip(starts, [*starts[1:], len(name)], strict=True):
-                if name[lo] != block and held:
-                    out.append(pairs(held, done))
-                    held = []
-                block = name[lo]
-                held.append(tuple(c[lo:hi] for c in cols))
-            if out:
-                yield _pair_batch(out)
-        if held:
-            yield _pair_batch([pairs(held, done)])
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for _, own in groupby(rows, key=itemgetter(0)):
+            sizes: dict[int, tuple[int, bytes]] = {}
+            done: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
+            out: list[np.ndarray] = []
+            for block, part in groupby(own, key=itemgetter(1)):
+                if block is None:
+                    sizes.update((r[2], (r[5], r[6])) for r in part)
+                    continue
+                out.append(_block_pairs(list(part), sizes, done, percent))
+                if sum(x.shape[1] for x in out[1:]) > 500_000:
+                    out = [_together(out)]
+            found = _together(out)
+            for at in range(0, found.shape[1], 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 50_000]) for x in found], ["a", "b", "times"])
 
     return run
 
 
-def _pair_batch(out: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    pairs = np.stack([np.concatenate(x) for x in zip(*out, strict=True)])
-    pairs, times = np.unique(pairs, axis=1, return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(times)], ["a", "b", "times"])
+def _block_pairs(members: list[tuple], sizes: dict, done: dict, percent: int) -> np.ndarray:
+    """Rows a, b, times of one block. done: results of member lists met before at this place."""
+    members.sort(key=lambda r: (r[3], sizes[r[2]][0], r[2]))
+    cls = np.array([r[2] for r in members], np.int64)
+    half = np.array([r[4] for r in members], np.int64)
+    mark = xxhash.xxh3_128_digest(cls.tobytes() + half.tobytes())
+    if mark not in done:
+        n, bits = (list(x) for x in zip(*(sizes[r[2]] for r in members), strict=True))
+        comp = np.array([r[3] for r in members], np.int64)
+        i, j = _pairs_by_width(np.array(n, np.int64), comp, bits, percent)
+        # In a block made of two shares of a group, pairs within a share belong to other blocks.
+        keep = (half[i] != half[j]) | (half[i] < 0)
+        i, j = i[keep], j[keep]
+        found = np.stack([np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j]), np.ones(len(i), np.int64)])
+        if len(i) > 1_000 or len(done) > 10_000:
+            return found
+        done[mark] = found
+    return done[mark]
+
+
+def _together(parts: list[np.ndarray]) -> np.ndarray:
+    """The same pairs' times summed."""
+    if not parts:
+        return np.zeros((3, 0), np.int64)
+    a, b, times = np.concatenate(parts, axis=1)
+    order = np.lexsort((b, a))
+    a, b, times = a[order], b[order], times[order]
+    head = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, int)
+    return np.stack([a[head], b[head], np.add.reduceat(times, head) if len(head) else times])
 
 
 def _near(percent: int):
@@ -596,37 +607,49 @@ def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 
 def _apart(rows: DataFrame) -> DataFrame:
-    """The rows of groups that hold more than one component."""
+    """The rows of groups that hold more than one component, with the group's size and place: the
+    member with the smallest hash. Groups of much the same members mostly share it."""
+    first = F.min(F.struct(F.xxhash64("cls").alias("h"), "cls"))
     spread = rows.groupBy("key").agg(
-        F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("size")
+        F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("size"), first.alias("first")
     )
-    return rows.join(spread.where("c0 != c1").select("key", "size"), "key")
+    spread = spread.where("c0 != c1").select("key", "size", F.col("first.cls").alias("place"))
+    return rows.join(spread, "key")
 
 
 def _tree_candidates(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(a, b) that signature trees over each group leave. A large group is dealt in blocks: its
-    members fall into shares, and each pair of shares is a block of its own."""
-    shares = F.ceil(F.col("size") / BLOCK)
-    rows = rows.withColumn("shares", shares.cast("int")).withColumn(
+    """(a, b) that signature trees over each group leave. Groups of one place are tried by one
+    task, which needs each class's bitmap once. A large group is dealt in blocks: its members fall
+    into shares, and each pair of shares is a block at a place of its own."""
+    shares = F.ceil(F.col("size") / BLOCK).cast("int")
+    rows = rows.withColumn("shares", shares).withColumn(
         "share", F.pmod(F.xxhash64("cls", "key"), F.col("shares")).cast("int")
     )
     other = F.when(F.col("shares") > 1, F.sequence(F.lit(0), F.col("shares") - 1)).otherwise(F.array(F.lit(0)))
     rows = rows.withColumn("other", F.explode(other))
-    block = F.concat_ws(
-        ":", "key", F.least("share", "other").cast("string"), F.greatest("share", "other").cast("string")
+    low, high = F.least("share", "other"), F.greatest("share", "other")
+    mixed = (F.col("shares") > 1) & (F.col("share") != F.col("other"))
+    block = F.when(F.col("shares") == 1, F.col("key")).otherwise(F.xxhash64("key", low, high))
+    members = rows.select(
+        F.when(F.col("shares") == 1, F.col("place")).otherwise(block).alias("place"),
+        block.alias("block"),
+        "cls",
+        "comp",
+        F.when(mixed, F.col("share")).otherwise(F.lit(-1)).alias("half"),
+        F.lit(None).cast("long").alias("n"),
+        F.lit(None).cast("binary").alias("bits"),
     )
-    mixed = F.col("share") != F.col("other")
-    paired = rows.where((F.col("shares") > 1) & mixed)
-    halves = rows.where((F.col("shares") == 1) | ~mixed).withColumn("half", F.lit(-1)).unionByName(
-        paired.withColumn("half", F.col("share"))
+    none = F.lit(None).cast("long")
+    bitmaps = (
+        members.select("place", "cls")
+        .distinct()
+        .join(classes.select("cls", "n", "bits"), "cls")
+        .select("place", none.alias("block"), "cls", none.alias("comp"), F.lit(0).alias("half"), "n", "bits")
     )
-    # A block of two shares needs both: the row (share, other) and its mirror carry one name.
-    out = halves.select(block.alias("block"), "cls", "n", "comp", F.col("half").cast("int").alias("half"))
     met = (
-        out.join(classes.select("cls", "bits"), "cls")
-        .select("block", "cls", "n", "comp", "half", "bits")
-        .repartition("block")
-        .sortWithinPartitions("block")
+        bitmaps.unionByName(members)
+        .repartition("place")
+        .sortWithinPartitions("place", F.col("block").asc_nulls_first())
         .mapInArrow(_tried(percent), "a long, b long, times long")
         .groupBy("a", "b")
         .agg(F.sum("times").alias("times"))
