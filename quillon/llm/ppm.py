@@ -298,6 +298,9 @@ def _score_rows(order: int, gram_table, token_table):
             keys, values = (np.frombuffer(x, t) for x, t in zip(gram_table.value, (np.int64, np.float64), strict=True))
             hashes, counts = (np.frombuffer(x, np.int64) for x in token_table.value)
             _LOADED[name] = Lookup(keys, values), Lookup(hashes, counts), {}
+            del keys, values, hashes, counts
+            for sent in (gram_table, token_table):  # read again from its file if it is needed again
+                sent.__dict__.pop("_value", None)
         value_of, by_hash, known = _LOADED[name]
 
         def count_of(split: list[list[bytes]]) -> np.ndarray:
