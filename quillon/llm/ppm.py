@@ -18,6 +18,7 @@ import math
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import groupby
 
 import numpy as np
@@ -287,21 +288,27 @@ def _scored(texts: list[str], order: int, count_of, value_of: Lookup) -> dict[st
     return out
 
 
+@lru_cache(maxsize=1)
+def _tables(name: str) -> list:
+    """What this worker has unpacked of the broadcast tables of this name; the last name's only."""
+    return []
+
+
 def _score_rows(order: int, gram_table, token_table):
     """Scores of texts with both tables at hand. Tokens are looked up by hash, which the caller
     has checked to be unlike for unlike tokens."""
     name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _LOADED:
-            _LOADED.clear()
+        held = _tables(name)
+        if not held:
             keys, values = (np.frombuffer(x, t) for x, t in zip(gram_table.value, (np.int64, np.float64), strict=True))
             hashes, counts = (np.frombuffer(x, np.int64) for x in token_table.value)
-            _LOADED[name] = Lookup(keys, values), Lookup(hashes, counts), {}
+            held += Lookup(keys, values), Lookup(hashes, counts), {}
             del keys, values, hashes, counts
             for sent in (gram_table, token_table):  # read again from its file if it is needed again
                 sent.__dict__.pop("_value", None)
-        value_of, by_hash, known = _LOADED[name]
+        value_of, by_hash, known = held
 
         def count_of(split: list[list[bytes]]) -> np.ndarray:
             if len(known) > REMEMBERED:
@@ -321,10 +328,6 @@ def _score_rows(order: int, gram_table, token_table):
     return run
 
 
-#: The tables of the broadcast that this worker has unpacked.
-_LOADED: dict = {}
-
-
 def _score_block(order: int):
     """Scores of a block's documents from the values of its grams and the counts of its tokens."""
 
