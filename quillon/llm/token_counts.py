@@ -307,7 +307,11 @@ def _prefix_rows(path: str):
 def token_counts(
     docs: DataFrame, path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit, one row per input row; a null text is empty (0 tokens)."""
+    """doc_id, n_bytes, n_tokens, over_limit: one row per input row, in no order.
+
+    over_limit: whether n_tokens is above limit. Null texts count as empty: 0 bytes, 0 tokens.
+    Null and repeated ids are kept as they are. An empty table gives no rows.
+    """
     small_batches(docs.sparkSession)
     docs = pick(docs, id_col, text_col).toDF("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     return docs.mapInArrow(_counts(path, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
@@ -317,6 +321,7 @@ def prefix_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     """doc_id, counts array<long>: counts[i] is the token count of the text's first i characters.
 
     With these stored, truncation and budget questions need no tokenizer: see ``fits`` and ``cut_at``.
+    Null and empty texts have the counts [0]. One row per input row; an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
     docs = pick(docs, id_col, text_col).toDF("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
