@@ -29,7 +29,7 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_join(read(spark, sf_dir, "documents"))
+    return jaccard_join.jaccard_join(read(spark, sf_dir, "documents")).drop("class_id")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,6 +126,30 @@ _SECRETS_SQL = f"""
 """
 
 ORACLE_SQL = {
+    "op3_jaccard_join": r"""
+    WITH RECURSIVE d AS (
+        SELECT doc_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x20\x09-\x0D]+') AS w
+        FROM documents
+    ), s AS (
+        SELECT doc_id, unnest(list_distinct(CASE
+            WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+            WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS g
+        FROM d
+    ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    p AS (
+        SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c
+        FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL
+    ), l AS (
+        SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)
+    ), r AS (
+        SELECT doc_id AS node, doc_id AS comp FROM documents
+        UNION SELECT b, comp FROM r JOIN l ON a = node
+    )
+    SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(comp) AS component_id
+    FROM documents LEFT JOIN n USING (doc_id) JOIN r ON node = doc_id GROUP BY doc_id
+    """,
     "op5_secrets": _SECRETS_SQL,
     "op6_exact_dedup": r"""
         WITH d AS (
