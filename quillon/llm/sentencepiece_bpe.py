@@ -225,6 +225,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     """doc_id, n_tokens, ids array<int>, decoded: the token ids of each text and the text they give.
 
     One row per input row, in no order. Null texts count as empty: no ids, empty decoded text.
+    Null and repeated ids are kept as they are. An empty table gives no rows.
     """
     small_batches(docs.sparkSession)
     docs = pick(docs, id_col, text_col).toDF("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
@@ -232,7 +233,10 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
 
 def digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: what ``encode`` gives, as digests."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: what ``encode`` gives, as digests.
+
+    A null or empty text has the digests of the empty string. Rows as for ``encode``.
+    """
     small_batches(docs.sparkSession)
     docs = pick(docs, id_col, text_col).toDF("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     return docs.mapInArrow(
