@@ -35,9 +35,9 @@ ORDER = 5
 END, START, BITS = 256, 257, 9
 ALPHABET = 257
 #: Characters of one block of texts, and bytes of a text gone through at a time.
-BLOCK_CHARS, PART = 32_000_000, 2_000_000
+BLOCK_CHARS, PART = 32_000_000, 1_000_000
 #: Entries after which a partial count is sent on, and words a worker remembers.
-HELD, REMEMBERED = 1_000_000, 300_000
+HELD, REMEMBERED = 400_000, 200_000
 #: Rows of the two tables up to which they are broadcast: 64 and 96 MB.
 MOST_GRAMS, MOST_TOKENS = 4_000_000, 8_000_000
 STOP = b""  # the end token; no word is empty
