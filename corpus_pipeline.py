@@ -20,8 +20,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """With repeated chunks of lines removed; documents of which nothing is left go."""
-    return line_dedup.rewrite(docs)
+    """With repeated runs of lines removed; documents of which nothing is left go."""
+    return line_dedup.rewrite(docs, runs=True)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,9 +4,11 @@ A polynomial rolling hash over the hashes of the last lines says where a chunk e
 lines give the same chunks wherever they stand in a text, once the window has passed their start.
 A line of many words is a chunk of its own. Chunks of several lines, or of one such long line,
 that occur again anywhere in the corpus are removed after their bytes have been compared; the
-first occurrence stays. Chunk hashes are counted first, and only chunks whose hash may repeat are
-compared. A task settles its own repeats, so however often a chunk occurs, each task sends it on
-once.
+first occurrence stays. Where chunks end near the edges of a passage depends on its surroundings, so
+runs compares every window of two neighbouring lines besides: whatever the lines around it, each
+line of a run of two or more that came before goes. Hashes are counted first, and only parts whose
+hash may repeat are compared. A task settles its own repeats, so however often a part occurs, each
+task sends it on once.
 """
 
 from __future__ import annotations
@@ -60,6 +62,12 @@ def chunks(text: str) -> list[tuple[int, int, bool]]:
     return out
 
 
+def windows(lines: list[str]) -> list[tuple[int, int]]:
+    """(first line, line after the last) of each two neighbouring lines that are not blank."""
+    full = [i for i, line in enumerate(lines) if line and not line.isspace()]
+    return [(i, j + 1) for i, j in zip(full, full[1:])]
+
+
 def _part(lines: list[str], begin: int, end: int) -> bytes:
     return "\n".join(lines[begin:end]).encode("utf-8", "surrogatepass")
 
@@ -71,70 +79,97 @@ def _hash(part: bytes) -> int:
     return xxhash.xxh64_intdigest(part)
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (hash, n): how often the chunks that may be removed occur here."""
-    count: Counter[int] = Counter()
+#: First byte of the bytes of a window; no text has it, so none equal those of a chunk.
+PAIR = b"\xff"
 
-    def rows() -> pa.RecordBatch:
-        hashes = np.fromiter(count.keys(), np.uint64, len(count)).view(np.int64)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(hashes), pa.array(list(count.values()), pa.int64())], ["hash", "n"]
-        )
 
-    for batch in batches:
-        for text in texts_of(batch.column(0)):
-            lines = text.split("\n")
-            count.update(_hash(_part(lines, begin, end)) for begin, end, may in chunks(text) if may)
-        if len(count) > 200_000:
-            yield rows()
-            count.clear()
-    yield rows()
+def _parts(text: str, runs: bool) -> list[tuple[int, bytes]]:
+    """(number, bytes) of what may be removed: chunks, then windows without blank lines between."""
+    lines, held = text.split("\n"), chunks(text)
+    out = [(no, _part(lines, begin, end)) for no, (begin, end, may) in enumerate(held) if may]
+    if runs:
+        for no, (begin, end) in enumerate(windows(lines), len(held)):
+            out.append((no, PAIR + _part([lines[begin], lines[end - 1]], 0, 2)))
+    return out
+
+
+def _overlap(part: bytes, one: tuple, two: tuple) -> bool:
+    """Whether two places (..., number) of these bytes share a line: windows side by side do."""
+    return part[:1] == PAIR and one[:-1] == two[:-1] and abs(one[-1] - two[-1]) == 1
+
+
+def _counted(runs: bool):
+    """Rows (hash, n): how often the parts that may be removed occur here."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count: Counter[int] = Counter()
+
+        def rows() -> pa.RecordBatch:
+            hashes = np.fromiter(count.keys(), np.uint64, len(count)).view(np.int64)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(hashes), pa.array(list(count.values()), pa.int64())], ["hash", "n"]
+            )
+
+        for batch in batches:
+            for text in texts_of(batch.column(0)):
+                count.update(_hash(part) for _, part in _parts(text, runs))
+            if len(count) > 200_000:
+                yield rows()
+                count.clear()
+        yield rows()
+
+    return run
 
 
-def _repeat_bits(docs: DataFrame) -> bytes:
+def _repeat_bits(docs: DataFrame, runs: bool) -> bytes:
     """Filter bits of the hashes that occur more than once."""
-    counts = docs.select("text").mapInArrow(_counted, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    counts = docs.select("text").mapInArrow(_counted(runs), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
     return filter_bits(counts.where("n > 1").selectExpr(f"CAST(pmod(hash, {FILTER_BITS}) AS int) AS slot"))
 
 
-def _settled(repeats_of):
-    """Rows of LEADERS: the first of each chunk here with its bytes, its repeats without; of
-    chunks whose hash has its bit set."""
+def _settled(repeats_of, runs: bool):
+    """Rows of LEADERS: the first of each part here with its bytes, its repeats without; of
+    parts whose hash has its bit set. A window that shares a line with the first is sent with its
+    bytes too: it goes only if there is an earlier first elsewhere."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(repeats_of.value, np.uint32)
         firsts: dict[bytes, tuple] = {}
+        unsure: list[tuple] = []
         repeats: list[tuple] = []
         size = 0
         for batch in batches:
             ids, marks = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             for doc_id, text, mark in zip(ids, texts_of(batch.column(1)), marks, strict=True):
-                lines = text.split("\n")
-                for no, (begin, end, may) in enumerate(chunks(text)):
-                    part = _part(lines, begin, end) if may else b""
+                for no, part in _parts(text, runs):
                     slot = _hash(part) % FILTER_BITS
-                    if not may or not bits[slot >> 5] >> (slot & 31) & 1:
+                    if not bits[slot >> 5] >> (slot & 31) & 1:
                         continue
                     own = (doc_id is None, doc_id or 0, mark, no)
                     held = firsts.get(part)  # equal bytes, not only equal hashes
                     if held is None:
                         firsts[part] = own
                         size += len(part)
-                    elif own < held:
-                        firsts[part] = own
-                        repeats.append((held, part))
-                    elif own != held:
-                        repeats.append((own, part))
+                        continue
+                    if own == held:
+                        continue
+                    firsts[part], later = min(own, held), max(own, held)
+                    if _overlap(part, own, held):
+                        unsure.append((later, part))
+                        size += len(part)
+                    else:
+                        repeats.append((later, part))
             if size > SETTLED or len(repeats) > 200_000:
-                yield from _flush(firsts, repeats)
-                firsts, repeats, size = {}, [], 0
-        yield from _flush(firsts, repeats)
+                yield from _flush(firsts, unsure, repeats)
+                firsts, unsure, repeats, size = {}, [], [], 0
+        yield from _flush(firsts, unsure, repeats)
 
     return run
 
 
-def _flush(firsts: dict[bytes, tuple], repeats: list[tuple]) -> Iterator[pa.RecordBatch]:
-    rows = [(own, part, part) for part, own in firsts.items()] + [(own, part, None) for own, part in repeats]
+def _flush(firsts: dict[bytes, tuple], unsure: list[tuple], repeats: list[tuple]) -> Iterator[pa.RecordBatch]:
+    rows = [(own, part, part) for part, own in firsts.items()] + [(own, part, part) for own, part in unsure]
+    rows += [(own, part, None) for own, part in repeats]
     for at in range(0, len(rows), 2_000):
         some = rows[at : at + 2_000]
         hashes = np.array([_hash(part) for _, part, _ in some], np.uint64).view(np.int64)
@@ -153,7 +188,7 @@ def _flush(firsts: dict[bytes, tuple], repeats: list[tuple]) -> Iterator[pa.Reco
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by (hash, doc_id, mark, no): those whose bytes came before.
 
-    Holds the different chunks of one hash; that is one, but for collisions.
+    Holds the different parts of one hash; that is one, but for collisions.
     """
     key, seen = None, []
     for batch in batches:
@@ -167,16 +202,16 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = next((x for x in seen if x[0] == part), None)
             if held is None:
                 seen.append((part, own))
-            again.append(held is not None and held[1] != own)
+            again.append(held is not None and held[1] != own and not _overlap(part, held[1], own))
         yield pa.RecordBatch.from_arrays(
             [batch.column(1), batch.column(2), batch.column(3)], ["doc_id", "mark", "no"]
         ).filter(pa.array(again, pa.bool_()))
 
 
-def removals(docs: DataFrame) -> DataFrame:
-    """doc_id, mark, nos: the numbers of the chunks to be removed. docs: doc_id, text, mark."""
-    bits = docs.sparkSession.sparkContext.broadcast(_repeat_bits(docs))
-    sent = cut(docs.select("doc_id", "text", "mark").mapInArrow(_settled(bits), LEADERS), "line-chunks")
+def removals(docs: DataFrame, runs: bool = False) -> DataFrame:
+    """doc_id, mark, nos: the numbers of the parts to be removed. docs: doc_id, text, mark."""
+    bits = docs.sparkSession.sparkContext.broadcast(_repeat_bits(docs, runs))
+    sent = cut(docs.select("doc_id", "text", "mark").mapInArrow(_settled(bits, runs), LEADERS), "line-chunks")
     firsts = (
         sent.where("part IS NOT NULL")
         .select("hash", F.col("doc_id"), "mark", "no", "part")
@@ -200,10 +235,9 @@ def _rebuilt(text_at: int, nos_at: int):
                     texts.append(text)
                     gone.append(0)
                     continue
-                drop, kept = set(drop), []
-                for no, (begin, end, _) in enumerate(chunks(text)):
-                    if no not in drop:
-                        kept += lines[begin:end]
+                places = [(begin, end) for begin, end, _ in chunks(text)] + windows(lines)
+                drop = {at for no in drop for at in range(*places[no])}
+                kept = [line for at, line in enumerate(lines) if at not in drop]
                 texts.append("\n".join(kept))
                 gone.append(len(lines) - len(kept))
             cols = [pa.array(texts, pa.string()) if i == text_at else c for i, c in enumerate(batch.columns)]
@@ -214,13 +248,13 @@ def _rebuilt(text_at: int, nos_at: int):
     return run
 
 
-def _deduped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int, int]:
+def _deduped(docs: DataFrame, id_col: str, text_col: str, runs: bool) -> tuple[DataFrame, int, int]:
     """Columns c0, c1, ...: those of docs in their order, text rewritten, then lines and lines gone."""
     small_batches(docs.sparkSession)
     wide = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     id_at, text_at = docs.columns.index(id_col), docs.columns.index(text_col)
     wide = wide.withColumn("doc_id", F.col(f"c{id_at}").cast("long")).withColumn("mark", F.xxhash64(f"c{text_at}"))
-    gone = removals(wide.select("doc_id", F.col(f"c{text_at}").alias("text"), "mark"))
+    gone = removals(wide.select("doc_id", F.col(f"c{text_at}").alias("text"), "mark"), runs)
     gone = gone.select(F.col("doc_id").alias("g_id"), F.col("mark").alias("g_mark"), "nos")
     near = wide["doc_id"].eqNullSafe(gone["g_id"]) & (wide["mark"] == gone["g_mark"])
     joined = wide.join(gone, near, "left").drop("doc_id", "mark", "g_id", "g_mark")
@@ -229,15 +263,17 @@ def _deduped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, in
     return joined.mapInArrow(_rebuilt(text_at, n), schema), id_at, text_at
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: bool = False) -> DataFrame:
     """One row per document: doc_id, text (what is left), n_lines, n_removed (lines).
 
-    The occurrence that stays is the first by doc_id (null last), then by its place. Within a text
-    a chunk that comes again goes as well. Null texts stay null, with 0 lines; empty texts stay
+    runs: besides repeated chunks, all lines of each run of two or more lines, blank ones not
+    counted, that came before. The occurrence that stays is the first by doc_id (null last), then
+    by its place. Within a text a chunk that comes again goes as well, and a run that shares no
+    line with the first. Null texts stay null, with 0 lines; empty texts stay
     empty. Rows that repeat both id and text are one document and get the same result. An empty
     table gives no rows.
     """
-    done, id_at, text_at = _deduped(pick(docs, id_col, text_col), id_col, text_col)
+    done, id_at, text_at = _deduped(pick(docs, id_col, text_col), id_col, text_col, runs)
     return done.select(
         F.col(f"c{id_at}").cast("long").alias("doc_id"),
         F.col(f"c{text_at}").alias("text"),
@@ -246,13 +282,14 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
-def rewrite(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
+def rewrite(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars",
+            runs: bool = False) -> DataFrame:
     """The documents, all columns as they were, with what is left of their texts.
 
     Documents of which nothing but white space is left are dropped; those that were blank stay.
-    length_col, if there is one, follows the text.
+    length_col, if there is one, follows the text. runs as in line_dedup.
     """
-    done, _, text_at = _deduped(docs, id_col, text_col)
+    done, _, text_at = _deduped(docs, id_col, text_col, runs)
     text = F.col(f"c{text_at}")
     done = done.where((F.col("gone") == 0) | text.rlike(r"[^\x20\x09-\x0D]"))
     cols = [

@@ -21,7 +21,7 @@ from quillon.llm.common import read
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_dedup(read(spark, sf_dir, "documents"))
+    return line_dedup.line_dedup(read(spark, sf_dir, "documents"), runs=True)
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -182,3 +182,48 @@ def test_long_passages_go_wherever_they_stand(spark):
     found = {r.doc_id: r.text for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert passage in found[0] and not any(passage in found[i] for i in range(1, 6))
     assert found[9] == rows[-1][1]
+
+
+def brute_runs(rows):
+    """What is left of the lines that are not blank: of each longest run of two lines or more, or of one
+    line of LONG words, that came before, none."""
+    first, out = {}, {}
+    for doc_id, text in sorted(rows):
+        lines = [x for x in (text or "").split("\n") if x.strip()]
+        gone = set()
+        for i, line in enumerate(lines):
+            for size in (1, 2):
+                run = tuple(lines[i : i + size])
+                if len(run) < size or size == 1 and len(line.split()) < line_dedup.LONG:
+                    continue
+                at = first.setdefault(run, (doc_id, i))
+                if at[0] != doc_id or i >= at[1] + size:
+                    gone |= set(range(i, i + size))
+        out[doc_id] = [x for i, x in enumerate(lines) if i not in gone]
+    return out
+
+
+def left_of(df, **how):
+    rows = line_dedup.line_dedup(df, **how).collect()
+    return {r.doc_id: [x for x in (r.text or "").split("\n") if x.strip()] for r in rows}
+
+
+@pytest.mark.parametrize("settled", [16_000_000, 2_000])
+def test_repeated_runs_of_lines_go_whole(spark, monkeypatch, docs, texts, settled):
+    monkeypatch.setattr(line_dedup, "SETTLED", settled)
+    assert left_of(docs, runs=True) == brute_runs(texts.items())
+    rng = np.random.default_rng(3)
+
+    def line(words):
+        return " ".join(f"v{x}" for x in rng.integers(0, 5000, words))
+
+    passages = [[line(25) for _ in range(size)] for size in (2, 3, 5, 8) for _ in range(10)]
+    rows = []
+    for passage in passages:  # a passage in two texts, with other lines around it
+        for _ in range(2):
+            around = [line(25) for _ in range(6)]
+            rows.append((len(rows), "\n".join(around[:3] + passage + around[3:])))
+    rows += [(1000, "same\n" * 7), (1001, "own\nsame\n \nsame\nsame\nother"), (1002, rows[0][1] + "\nlast of a copy")]
+    found = left_of(spark.createDataFrame(rows, "doc_id long, text string"), runs=True)
+    assert found == brute_runs(rows)
+    assert all(not set(p) & set(found[2 * k + 1]) and set(p) <= set(found[2 * k]) for k, p in enumerate(passages))
