@@ -72,11 +72,14 @@ def scan(
     repo_col: str = "doc_id",
     owner_col: str = "source",
     wide: int = WIDE,
+    wide_repos: int | None = None,
 ) -> DataFrame:
     """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied.
 
     n_live and n_copied count the document's spans, ``owned`` ones included, whose value has fewer
-    than wide owners, or wide and more. A null repository or owner counts as one of its own. Null
+    than wide owners, or wide and more. With wide_repos, a value of so many repositories is copied
+    too, however few its owners, and the columns repos and owners follow: the most distinct ones
+    of any value of the document, 0 without values. Both counts are exact. A null repository or owner counts as one of its own. Null
     and empty texts have no spans: counts 0, the digest of the empty string, an empty spans
     string. Rows that repeat an id are scanned each. An empty table gives no rows.
     """
@@ -85,7 +88,7 @@ def scan(
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"),
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.xxhash64(F.coalesce(F.col("repo").cast("string"), F.lit("\x00"))).alias("repo"),
+        F.coalesce(F.concat(F.lit("r"), F.col("repo").cast("string")), F.lit("n")).alias("repo"),
         F.coalesce(F.concat(F.lit("o"), F.col("owner").cast("string")), F.lit("n")).alias("owner"),
         F.filter(found(text, ASSIGN, 0), lambda s: F.length(s["value"]) >= 12).alias("assign"),
         found(text, ACCESS, 1).alias("access"),
@@ -114,14 +117,16 @@ def scan(
         "secrets-rows",
     )
     spans = rows.where(F.size("all") > 0).select("row", "owner", "repo", F.inline("all"))
-    owners = (
-        spans.groupBy("value", "owner")
-        .agg(F.approx_count_distinct("repo").alias("repos"))
-        .groupBy("value")
-        .agg(F.count(F.lit(1)).alias("owners"), F.sum("repos").alias("repos"))
-    )
+    owners = _wide(spans, "owner", "owners")
+    live = F.col("owners") < wide
+    if wide_repos is not None:
+        owners = owners.join(_wide(spans, "repo", "repos"), "value")
+        live &= F.col("repos") < wide_repos
+    counts = [name for name in ("repos", "owners") if wide_repos is not None]
+    held = spans.select("row", "start", "kind", "end", "value").join(owners, "value").withColumn("live", live)
+    most = held.groupBy("row").agg(*[F.max(name).alias(name) for name in counts]) if counts else None
     told = (
-        spans.join(owners.select("value", (F.col("owners") < wide).alias("live")), "value")
+        held
         .where("kind < 3 OR live")
         .groupBy("row")
         .agg(
@@ -130,14 +135,23 @@ def scan(
             F.count_if(~F.col("live")).alias("n_copied"),
         )
     )
-    return rows.join(told, "row", "left").select(
+    out = rows.join(told, "row", "left")
+    if most is not None:
+        out = out.join(most, "row", "left")
+    return out.select(
         "doc_id", "n_assign", "n_access", "n_hex", "base_sha256",
         F.coalesce("spans", F.lit("")).alias("spans"),
         F.coalesce("n_live", F.lit(0).cast("long")).alias("n_live"),
         F.coalesce("n_copied", F.lit(0).cast("long")).alias("n_copied"),
+        *[F.coalesce(name, F.lit(0).cast("long")).alias(name) for name in counts],
     )
 
 
+def _wide(spans: DataFrame, of: str, name: str) -> DataFrame:
+    """value and how many distinct ones of a column hold it, exactly."""
+    return spans.select("value", of).distinct().groupBy("value").agg(F.count(F.lit(1)).alias(name))
+
+
 def values(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id",
            owner_col: str = "source") -> DataFrame:
     """Each candidate value's hash with its corpus-wide ownership: value_sha256, repos, owners, spans."""

@@ -201,6 +201,16 @@ def test_ownership_of_values(spark):
     assert {r.n_copied for r in secrets.scan(df).collect()} == {1}
 
 
+def test_repositories_decide_with_owners(spark):
+    """A key in many repositories of one owner is copied; one in two repositories is not."""
+    texts = ["key aB3dE5gH7jK9mN1pQ3sT5"] * 40 + ["key Zz9Yy8Xx7Ww6Vv5Uu4Tt3"] * 2 + ["nothing"]
+    df = spark.createDataFrame([(i, t, "a") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    rows = {r.doc_id: r for r in secrets.scan(df, wide_repos=40).collect()}
+    assert all((rows[i].n_live, rows[i].n_copied, rows[i].repos, rows[i].owners, rows[i].spans) == (0, 0, 40, 1, "") for i in range(40))
+    assert all((rows[i].n_live, rows[i].n_copied, rows[i].repos, rows[i].spans) == (1, 0, 2, "owned:4:25") for i in (40, 41))
+    assert (rows[42].repos, rows[42].owners) == (0, 0)
+
+
 # -- nearest neighbours
 
 
