@@ -33,19 +33,33 @@ SENTENCE = re.compile(r"[.!?\n]+")
 #: Single letters apart from each other are one word written wide.
 WIDE = re.compile(r"(?<!\S)(?:\w[ ]){3,}\w(?!\S)")
 EDGES = "\"'`*#$%&|,;:()[]{}<>-_=+~^/\\@0123456789"
-#: Characters of a word that count; no insult is longer.
-LONGEST = 40
+#: Longer words are taken apart where punctuation joins them; parts that are still longer count as
+#: pieces of this length, each sharing its last SHARED characters with the next, so that an insult
+#: of up to that length is whole in one of them.
+LONGEST, SHARED = 40, 20
+JOINS = re.compile("[_\\-,/|\\\\;:&=?+<>()\\[\\]{}\"#%~^\u00ab\u00bb\u2010-\u2027\u2030-\u205e\u3000-\u303f"
+                   "\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]+")
 #: Words a worker remembers; beyond it starts anew. Bounds memory, not results.
 REMEMBERED = 500_000
 STEPS = np.array([[0, *c] for c in combinations(range(1, SPAN), 2)])
 
 
+def pieces(word: str) -> list[str]:
+    """The word, or the parts of at most LONGEST characters that hold all of a longer one."""
+    if len(word) <= LONGEST:
+        return [word]
+    out = []
+    for part in filter(None, (x.strip(EDGES) for x in JOINS.split(word))):
+        out += [part[at : at + LONGEST] for at in range(0, max(1, len(part) - SHARED), LONGEST - SHARED)]
+    return out
+
+
 def sentences(text: str) -> list[list[str]]:
-    """The words of each sentence, lower-cased, without punctuation around them."""
+    """The words of each sentence, lower-cased, without punctuation around them, long ones in pieces."""
     text = WIDE.sub(lambda m: m.group().replace(" ", ""), text.lower())
     out = []
     for part in SENTENCE.split(text):
-        words = [w for w in (x.strip(EDGES) for x in part.split()) if w]
+        words = [w for x in part.split() for w in pieces(x.strip(EDGES)) if w]
         if words:
             out.append(words)
     return out
@@ -53,7 +67,7 @@ def sentences(text: str) -> list[list[str]]:
 
 def vectors(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word, subsequence code, weight) of the normalised kernel vectors, sorted by word."""
-    inner = ["\x01" + w[:LONGEST] + "\x02" for w in words]
+    inner = ["\x01" + w + "\x02" for w in words]
     size = np.array([len(w) for w in inner], np.int64)
     raw = np.frombuffer("".join(inner).encode("utf-32-le", "surrogatepass"), np.uint32)
     alphabet, char = np.unique(raw, return_inverse=True)

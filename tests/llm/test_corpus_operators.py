@@ -315,6 +315,24 @@ def test_toxicity_learns_words_and_their_variants():
     assert score[1] > 0.9 and score[2] < 0.1 and score[3] < 0.3 and score[0] > 0.3
 
 
+def test_every_character_of_long_words_counts():
+    rng = np.random.default_rng(5)
+    plain = ["the", "house", "river", "green", "walks", "over", "stone", "quiet", "morning", "paper"]
+    y = [i % 2 for i in range(200)]
+    texts = [" ".join([*rng.choice(plain, 20), *(["moron", "idiot"] if bad else []), *rng.choice(plain, 10)]) for bad in y]
+    model = toxicity.fit(texts, y)
+    clean = "_".join(plain * 2)
+    joined = [clean + "_moron_idiot_" + clean, clean + "\u3001moron\u3002idiot", "/" + clean.replace("_", "/") + "/moron", clean]
+    score = model.score(joined, {})
+    assert all(score[:3] > 0.5) and score[3] < 0.3
+    assert toxicity.sentences("a" * 40) == [["a" * 40]] and toxicity.sentences("1" * 90) == []
+    for size in (41, 59, 60, 61, 100, 1001):
+        word = "".join(chr(0x4E00 + k) for k in range(size))
+        (parts,) = toxicity.sentences(word)
+        assert max(map(len, parts)) <= toxicity.LONGEST
+        assert all(any(word[k : k + toxicity.SHARED] in p for p in parts) for k in range(size - toxicity.SHARED + 1))
+
+
 def test_toxicity_of_the_table(spark):
     documents = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
