@@ -199,7 +199,12 @@ def _landmarks(split: list[list[list[str]]], toxic: np.ndarray, telling: int, pl
 
 def fit(texts: list[str], toxic: list[int], telling: int = 192, plain: int = 64, rounds: int = 3,
         per_class: int = 8_000) -> Model:
-    """A model from labelled texts; without both labels it gives every text the mean label."""
+    """A model from labelled texts; without both labels it gives every text the mean label.
+
+    telling, plain: landmark words. per_class: sentences of each label at most, taken at random
+    with a fixed seed, that train the SVM; it bounds the fit's memory. The landmarks, the threshold
+    of telling words and the logistic layer use all sentences.
+    """
     y = np.array([int(t == 1) for t in toxic])
     pool: dict[str, str] = {}  # one object for each distinct word
     split = [[[pool.setdefault(w, w) for w in s] for s in sentences(t)] for t in texts]
@@ -287,15 +292,17 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000, most_chars:
     """Fits on a bounded sample of labelled rows outside the held-out fold.
 
     per_class: documents of each label at most, by order of a hash of the id. most_chars: longer
-    documents do not enter the sample. docs: doc_id, text; labels: doc_id, toxic. An id with
+    documents do not enter the sample, the next ones take their places. docs: doc_id, text; labels: doc_id, toxic. An id with
     several labels counts as toxic if any is 1.
     """
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    docs = docs.where(F.length("text") <= most_chars)
+    known = known.join(docs.select("doc_id"), "doc_id", "left_semi")
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     sample = known.where("toxic = 1").orderBy(*order).limit(per_class)
     sample = sample.unionByName(known.where("toxic = 0").orderBy(*order).limit(per_class))
-    rows = docs.join(F.broadcast(sample), "doc_id").where(F.length("text") <= most_chars)
+    rows = docs.join(F.broadcast(sample), "doc_id")
     made = rows.select("doc_id", "text", "toxic").repartition(1).mapInArrow(_fitted, "model binary").first()
     return pickle.loads(made["model"]) if made else fit([], [])
 

@@ -333,6 +333,16 @@ def test_every_character_of_long_words_counts():
         assert all(any(word[k : k + toxicity.SHARED] in p for p in parts) for k in range(size - toxicity.SHARED + 1))
 
 
+def test_long_documents_leave_their_places_in_the_sample(spark):
+    ids = [i for i in range(80) if zlib.crc32(str(i).encode()) % 4 != 2]
+    texts = [(i, ("stupid moron. " if i % 2 else "quiet river. ") * (1 if i in ids[-4:] else 20)) for i in ids]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int")
+    assert {i % 2 for i in ids[-4:]} == {0, 1}
+    model = toxicity.train(df, labels, per_class=1, most_chars=100)
+    assert len(model.codes) and model.score(["stupid moron."], {})[0] > model.score(["quiet river."], {})[0]
+
+
 def test_toxicity_of_the_table(spark):
     documents = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
