@@ -5,16 +5,17 @@ shingles two sets that link share one among their first ``n - ceil(0.75 n) + 1``
 corpus-wide count of hashed shingles, rare first, those prefixes cut the classes into small
 groups. Within a group a hierarchy of nodes holds OR-combined bitmaps and size ranges of the sets
 below; a dual traversal drops node pairs whose largest possible overlap is too small. (3) What is
-left is compared set by set. Groups of near copies would still give all their pairs, so classes
-are first linked to a few fellows of their groups, and node pairs that lie in one component
-already are dropped as well: every link that could join two components is tried.
+left is compared set by set where it is found, and only links that join two components come out.
+Groups of near copies would still cost all their pairs, so classes are first linked to a few
+fellows of their groups, and node pairs that lie in one component already are dropped as well:
+every link that could join two components is tried.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import chain, groupby
 from operator import itemgetter
 
 import numpy as np
@@ -31,11 +32,13 @@ WORDS, PERCENT = 5, 75
 COUNTERS, SLICES = 1 << 20, 64
 #: A bitmap has four times its set's size in bits, rounded up to a power of two within these.
 FEWEST, MOST = 256, 1 << 17
-#: Sets of one leaf, and members of a group that one task compares.
-LEAF, BLOCK = 32, 5_000
+#: Sets of one leaf, and the weight of members that one task compares: each weighs one, and one
+#: more for each 1024 of its shingles.
+LEAF, BLOCK = 32, 1_000
 #: Fellows that each class is compared with at first, and rounds for those still apart.
 FELLOWS, ROUNDS = 3, 4
 ODD = np.uint64(0x9E3779B97F4A7C15)
+SEED = 2024
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -44,59 +47,12 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _white() -> np.ndarray:
-    out = np.zeros(256, bool)
-    out[[9, 10, 11, 12, 13, 32]] = True
-    return out
-
-
-def _powers(base: int, count: int) -> np.ndarray:
-    out = np.ones(1, np.uint64)
-    while len(out) < count:
-        out = np.r_[out, out * np.uint64(pow(base, len(out), 1 << 64))]
-    return out[:count]
-
-
-#: Bytes whose words are hashed side by side.
-SLICE = 1 << 20
-#: A random number for each byte, and a random odd base with its inverse modulo 2**64.
-BYTES = np.random.default_rng(2024).integers(0, 1 << 64, 256, np.uint64)
-BASE = 0xD1342543DE82EF95
-UP, DOWN = _powers(BASE, SLICE), _powers(pow(BASE, -1, 1 << 64), SLICE)
-WHITE = _white()
-
+class _Hashes(dict):
+    """The 64-bit hash of each word met, made once."""
 
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hash, first byte) of each word between white space.
-
-    Running sums of byte numbers times powers of the base; a word's is the difference at its ends,
-    brought back to power zero. Slices end at white space.
-    """
-    hashes, firsts, at = [], [], 0
-    while at < len(data):
-        stop = min(len(data), at + SLICE)
-        part = np.frombuffer(data, np.uint8, stop - at, at)
-        if stop < len(data):
-            last = np.flatnonzero(WHITE[part])
-            if len(last):
-                part = part[: last[-1] + 1]
-            else:  # one word longer than a slice
-                rest = WHITE[np.frombuffer(data, np.uint8, offset=at)]
-                part = np.frombuffer(data, np.uint8, int(rest.argmax()) + 1 if rest.any() else len(data) - at, at)
-        n = len(part)
-        up, down = (UP, DOWN) if n <= SLICE else (_powers(BASE, n), _powers(pow(BASE, -1, 1 << 64), n))
-        white = WHITE[part]
-        edge = np.flatnonzero(np.diff(np.r_[True, white, True].view(np.int8)))
-        first, end = edge[::2], edge[1::2]
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(BYTES[part] * up[:n], out=sums[1:])
-        value = (sums[end] - sums[first]) * down[first]
-        hashes.append(_mixed(value + (end - first).astype(np.uint64)))
-        firsts.append(first + at)
-        at += n
-    if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(hashes), np.concatenate(firsts)
+    def __missing__(self, word: bytes) -> int:
+        self[word] = value = xxhash.xxh3_64_intdigest(word, SEED)
+        return value
 
 
 def shingle_sets(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
@@ -104,10 +60,11 @@ def shingle_sets(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
 
     A text of fewer words is one n-gram by itself; a text without words has none.
     """
-    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-    word, first = word_hashes(b"\n".join(raw).lower())
-    ends = np.cumsum([len(x) + 1 for x in raw])
-    sizes = np.diff(np.searchsorted(first, np.r_[0, ends])).tolist()
+    split = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
+    sizes = list(map(len, split))
+    known = _Hashes()
+    word = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.uint64, sum(sizes))
+    del split, known
     gram = np.zeros(max(0, len(word) - words + 1), np.uint64)
     for k in range(words):
         gram = gram * ODD + word[k : k + len(gram)]
@@ -385,59 +342,112 @@ def _pairs_by_width(n, comp, packed: list[bytes], percent: int) -> tuple[np.ndar
 
 
 def _tried(percent: int):
-    """(a, b, times): the pairs that the blocks' signature trees leave over and in how many blocks
-    of a place each was. Rows are sorted by place; first come its classes (n, bits), then the
-    members of its blocks (comp, half)."""
+    """(place, cls): the classes of a place that its blocks' signature trees leave in some pair.
+    Rows are sorted by place; first come its classes (n, bits), then the members of its blocks
+    (comp, half). At most one row for each class of a place, however many pairs it is in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
-        for _, own in groupby(rows, key=itemgetter(0)):
-            sizes: dict[int, tuple[int, bytes]] = {}
-            done: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
-            out: list[np.ndarray] = []
-            for block, part in groupby(own, key=itemgetter(1)):
-                if block is None:
-                    sizes.update((r[2], (r[5], r[6])) for r in part)
-                    continue
-                out.append(_block_pairs(list(part), sizes, done, percent))
-                if sum(x.shape[1] for x in out[1:]) > 500_000:
-                    out = [_together(out)]
-            found = _together(out)
-            for at in range(0, found.shape[1], 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 50_000]) for x in found], ["a", "b", "times"])
+        for place, classes, blocks in _places(batches):
+            sizes = {r[2]: (r[5], r[6]) for r in classes}
+            left: set[int] = set()
+            for cls, i, j, _ in _blocks(blocks, sizes, percent):
+                left.update(cls[i].tolist(), cls[j].tolist())
+            if left:
+                rows = pa.array(sorted(left), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([place] * len(rows), pa.int64()), rows], ["place", "cls"])
 
     return run
 
 
-def _block_pairs(members: list[tuple], sizes: dict, done: dict, percent: int) -> np.ndarray:
-    """Rows a, b, times of one block. done: results of member lists met before at this place."""
-    members.sort(key=lambda r: (r[3], sizes[r[2]][0], r[2]))
-    cls = np.array([r[2] for r in members], np.int64)
-    half = np.array([r[4] for r in members], np.int64)
-    mark = xxhash.xxh3_128_digest(cls.tobytes() + half.tobytes())
-    if mark not in done:
-        n, bits = (list(x) for x in zip(*(sizes[r[2]] for r in members), strict=True))
+def _linked(percent: int):
+    """(a, b): links between components, found by comparing the sets that the trees leave over.
+
+    As _tried, with the sets in place of the bitmaps. Components that a link has joined are one
+    for the rest of the place, so a place gives fewer links than it has classes.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, classes, blocks in _places(batches):
+            sets = {r[2]: np.asarray(r[5], np.int64).view(np.uint64) for r in classes}
+            sizes = {cls: (len(found), _bitmap(found)) for cls, found in sets.items()}
+            above: dict[int, int] = {}
+            out: list[tuple[int, int]] = []
+            for cls, i, j, comp in _blocks(blocks, sizes, percent):
+                out += _joining(cls, i, j, comp, sets, above, percent)
+            if out:
+                a, b = (pa.array(x, pa.int64()) for x in zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([a, b], ["a", "b"])
+
+    return run
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple], Iterator[tuple]]]:
+    """(place, rows of its classes, rows of its blocks) of rows sorted by place, classes first."""
+    rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+    for place, own in groupby(rows, key=itemgetter(0)):
+        classes: list[tuple] = []
+        first = None
+        for first in own:
+            if first[1] is not None:
+                break
+            classes.append(first)
+        else:
+            continue
+        yield place, classes, chain([first], own)
+
+
+def _blocks(rows: Iterator[tuple], sizes: dict, percent: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(classes, i, j, components) of each block: the pairs (i, j) that its trees leave over. Blocks
+    of the same members as one before at this place give nothing new and are left out."""
+    done: set[bytes] = set()
+    for _, part in groupby(rows, key=itemgetter(1)):
+        members = sorted((r for r in part if r[2] in sizes), key=lambda r: (r[3], sizes[r[2]][0], r[2]))
+        if len(members) < 2:
+            continue
+        cls = np.array([r[2] for r in members], np.int64)
+        half = np.array([r[4] for r in members], np.int64)
+        mark = xxhash.xxh3_128_digest(cls.tobytes() + half.tobytes())
+        if mark in done:
+            continue
+        done.add(mark)
         comp = np.array([r[3] for r in members], np.int64)
+        n, bits = (list(x) for x in zip(*(sizes[r[2]] for r in members), strict=True))
         i, j = _pairs_by_width(np.array(n, np.int64), comp, bits, percent)
         # In a block made of two shares of a group, pairs within a share belong to other blocks.
         keep = (half[i] != half[j]) | (half[i] < 0)
-        i, j = i[keep], j[keep]
-        found = np.stack([np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j]), np.ones(len(i), np.int64)])
-        if len(i) > 1_000 or len(done) > 10_000:
-            return found
-        done[mark] = found
-    return done[mark]
-
-
-def _together(parts: list[np.ndarray]) -> np.ndarray:
-    """The same pairs' times summed."""
-    if not parts:
-        return np.zeros((3, 0), np.int64)
-    a, b, times = np.concatenate(parts, axis=1)
-    order = np.lexsort((b, a))
-    a, b, times = a[order], b[order], times[order]
-    head = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, int)
-    return np.stack([a[head], b[head], np.add.reduceat(times, head) if len(head) else times])
+        if keep.any():
+            yield cls, i[keep], j[keep], comp
+
+
+def _joining(cls, i, j, comp, sets: dict, above: dict[int, int], percent: int) -> list[tuple[int, int]]:
+    """The links among the pairs (i, j) that join two components; above: their union-find forest."""
+
+    def root(x: int) -> int:
+        while (up := above.get(x, x)) != x:
+            above[x] = above.get(up, up)
+            x = up
+        return x
+
+    used = np.unique(np.r_[i, j])
+    own = [sets[c] for c in cls[used].tolist()]
+    _, code = np.unique(np.concatenate(own), return_inverse=True)
+    ends = np.cumsum([len(x) for x in own])
+    codes = dict(zip(used.tolist(), np.split(code, ends[:-1]), strict=True))
+    marked = np.zeros(int(code.max()) + 1, bool)
+    out: list[tuple[int, int]] = []
+    order = np.argsort(i, kind="stable")
+    for a, part in groupby(zip(i[order].tolist(), j[order].tolist(), strict=True), key=itemgetter(0)):
+        marked[codes[a]] = True
+        for _, b in part:
+            x, y = root(int(comp[a])), root(int(comp[b]))
+            if x == y:
+                continue
+            shared = int(np.count_nonzero(marked[codes[b]]))
+            if 100 * shared >= percent * (len(codes[a]) + len(codes[b]) - shared):
+                above[max(x, y)] = min(x, y)
+                out.append((int(cls[a]), int(cls[b])))
+        marked[codes[a]] = False
+    return out
 
 
 def _near(percent: int):
@@ -460,11 +470,13 @@ def _near(percent: int):
     return run
 
 
-def _sets_of(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
-    """cls, n, found of the classes in these pairs, made again from one text each. The ids go to
-    the texts as filter bits, so no text is moved; what the filter lets through besides goes in a
-    join."""
-    wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+def _sides(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+
+
+def _sets_of(wanted: DataFrame, docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """cls, n, found of the wanted classes, made again from one text each. The ids go to the texts
+    as filter bits, so no text is moved; what the filter lets through besides goes in a join."""
     wanted = cut(classes.join(wanted, "cls", "left_semi").select("cls", "doc_id"), "jaccard-wanted")
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).cast("int").alias("slot")
     bits = docs.sparkSession.sparkContext.broadcast(filter_bits(wanted.select(slot)))
@@ -496,7 +508,8 @@ def jaccard_join(
     """One row per document: doc_id, n_shingles, component_id, class_id.
 
     Documents link when ``100 * |A and B| >= percent * |A or B|`` over their sets of n-gram
-    hashes (64 bits; unlike n-grams with equal hashes are taken as equal). component_id is the
+    hashes (64 bits, made from seeded xxh3 hashes of the words' bytes; unlike n-grams or sets with
+    equal hashes, two of n with odds of n**2 in 2**65, are taken as equal). component_id is the
     smallest doc_id that links reach. class_id names the set: documents with equal sets share it.
     Null, empty and white-space texts have no shingles and link with nothing, so component_id is
     their own id. A row with a null id takes no part and has a null component_id. Rows that
@@ -540,7 +553,7 @@ def jaccard_join(
     for turn in range(1, FELLOWS):
         seeds = seeds.unionByName(_to_fellows(members, turn, percent))
     seeds = cut(_possible(seeds.distinct(), classes, percent), "jaccard-pairs")
-    sets = _sets_of(seeds, own, classes, words)
+    sets = _sets_of(_sides(seeds), own, classes, words)
     links = _verified(seeds, sets, percent)
     comps = components(links)
     met = cut(members.join(sets.select("cls").distinct(), "cls", "left_semi"), "jaccard-members")
@@ -552,8 +565,7 @@ def jaccard_join(
         links = links.unionByName(fresh)
         comps = components(links)
     left = _apart(_with_comps(members, comps))
-    last = cut(_tree_candidates(left, classes, percent), "jaccard-pairs")
-    links = links.unionByName(_verified(last, _sets_of(last, own, classes, words), percent))
+    links = links.unionByName(_tree_links(left, own, classes, words, percent))
     comps = components(links)
     marked = marked.drop("bits")
     group = marked.join(comps, marked["cls"] == comps["node"], "left").select(
@@ -607,57 +619,95 @@ def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 
 def _apart(rows: DataFrame) -> DataFrame:
-    """The rows of groups that hold more than one component, with the group's size and place: the
-    member with the smallest hash. Groups of much the same members mostly share it."""
-    first = F.min(F.struct(F.xxhash64("cls").alias("h"), "cls"))
-    spread = rows.groupBy("key").agg(
-        F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("size"), first.alias("first")
+    """The rows of groups that hold more than one component, with the group's place: the member
+    with the smallest hash. Groups of much the same members mostly share it. main: the component
+    with the most weight in the group; weight, beside: of it and of all others."""
+    first = F.min(F.struct(F.xxhash64("cls").alias("h"), "cls")).alias("first")
+    own = rows.groupBy("key", "comp").agg(F.sum(F.expr("1 + n div 1024")).alias("weight"), first)
+    spread = own.groupBy("key").agg(
+        F.max(F.struct("weight", "comp")).alias("top"),
+        F.sum("weight").alias("all"),
+        F.count(F.lit(1)).alias("comps"),
+        F.min("first").alias("first"),
+    )
+    spread = spread.where("comps > 1").select(
+        "key",
+        F.col("top.comp").alias("main"),
+        F.col("top.weight").alias("weight"),
+        (F.col("all") - F.col("top.weight")).alias("beside"),
+        F.col("first.cls").alias("place"),
     )
-    spread = spread.where("c0 != c1").select("key", "size", F.col("first.cls").alias("place"))
     return rows.join(spread, "key")
 
 
-def _tree_candidates(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(a, b) that signature trees over each group leave. Groups of one place are tried by one
-    task, which needs each class's bitmap once. A large group is dealt in blocks: its members fall
-    into shares, and each pair of shares is a block at a place of its own."""
-    shares = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = rows.withColumn("shares", shares).withColumn(
-        "share", F.pmod(F.xxhash64("cls", "key"), F.col("shares")).cast("int")
-    )
-    other = F.when(F.col("shares") > 1, F.sequence(F.lit(0), F.col("shares") - 1)).otherwise(F.array(F.lit(0)))
-    rows = rows.withColumn("other", F.explode(other))
-    low, high = F.least("share", "other"), F.greatest("share", "other")
-    mixed = (F.col("shares") > 1) & (F.col("share") != F.col("other"))
-    block = F.when(F.col("shares") == 1, F.col("key")).otherwise(F.xxhash64("key", low, high))
-    members = rows.select(
-        F.when(F.col("shares") == 1, F.col("place")).otherwise(block).alias("place"),
-        block.alias("block"),
+def _dealt(rows: DataFrame) -> DataFrame:
+    """place, block, cls, comp, half: which task tries which members with each other.
+
+    A group is one block, and groups of one place are tried together, so that each class goes
+    there once; a place with many rows is dealt by group. A large group becomes several blocks at
+    places of their own: the members of its main component, already joined to each other, and all
+    others fall into shares each, and every share of the others meets every share of both kinds.
+    So a large component costs a group in proportion to its size, not with its square.
+    """
+    small = rows.where(F.col("weight") + F.col("beside") <= BLOCK)
+    per = small.groupBy("place").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    small = small.join(per, "place").select(
+        F.when(F.col("parts") == 1, F.col("place"))
+        .otherwise(F.xxhash64("place", F.pmod(F.xxhash64("key"), "parts")))
+        .alias("place"),
+        F.col("key").alias("block"),
         "cls",
         "comp",
-        F.when(mixed, F.col("share")).otherwise(F.lit(-1)).alias("half"),
-        F.lit(None).cast("long").alias("n"),
-        F.lit(None).cast("binary").alias("bits"),
+        F.lit(-1).alias("half"),
     )
-    none = F.lit(None).cast("long")
-    bitmaps = (
-        members.select("place", "cls")
-        .distinct()
-        .join(classes.select("cls", "n", "bits"), "cls")
-        .select("place", none.alias("block"), "cls", none.alias("comp"), F.lit(0).alias("half"), "n", "bits")
+    others, mains = (F.ceil(F.col(x) * 2 / BLOCK).cast("int") for x in ("beside", "weight"))
+    inside = F.col("comp") == F.col("main")
+    large = rows.where(F.col("weight") + F.col("beside") > BLOCK).withColumns({"others": others, "mains": mains})
+    share = F.pmod(F.xxhash64("cls", "key"), F.when(inside, F.col("mains")).otherwise(F.col("others"))).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    pair = lambda low, high, kind: F.struct(low.alias("low"), high.alias("high"), F.lit(kind).alias("kind"))
+    own = F.col("share")
+    meets = F.when(inside, F.transform(upto("others"), lambda k: pair(k, own, 1))).otherwise(
+        F.concat(
+            F.transform(upto("others"), lambda k: pair(F.least(own, k), F.greatest(own, k), 0)),
+            F.transform(upto("mains"), lambda k: pair(own, k, 1)),
+        )
     )
-    met = (
-        bitmaps.unionByName(members)
-        .repartition("place")
-        .sortWithinPartitions("place", F.col("block").asc_nulls_first())
-        .mapInArrow(_tried(percent), "a long, b long, times long")
-        .groupBy("a", "b")
-        .agg(F.sum("times").alias("times"))
+    large = large.withColumn("share", share).withColumn("met", F.explode(meets))
+    # 0, 1: the side of a block of two shares; -1: a share that meets itself.
+    half = (
+        F.when(F.col("met.kind") == 1, inside.cast("int"))
+        .when(F.col("met.low") == F.col("met.high"), F.lit(-1))
+        .otherwise((own == F.col("met.high")).cast("int"))
     )
-    # Two sets share at most the keys of their groups and what lies behind one of the prefixes.
-    sizes = classes.select("cls", "n")
-    for side in ("a", "b"):
-        met = met.join(sizes.select(F.col("cls").alias(side), F.col("n").alias(f"n_{side}")), side)
-    behind = F.ceil(F.lit(percent) * F.greatest("n_a", "n_b") / 100) - 1
-    least = F.ceil(F.lit(percent) * (F.col("n_a") + F.col("n_b")) / (100 + percent))
-    return met.where(F.col("times") + behind >= least).select("a", "b")
+    block = F.xxhash64("key", "met.low", "met.high", "met.kind")
+    return small.unionByName(large.select(block.alias("place"), block.alias("block"), "cls", "comp", half.alias("half")))
+
+
+def _at_places(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows of each place together: first its classes with their two further columns, then the
+    members of its blocks."""
+    kinds = dict(classes.dtypes)
+    extra = [name for name in classes.columns if name != "cls"]
+    none = F.lit(None).cast("long")
+    own = members.select("place", "cls").distinct().join(classes, "cls")
+    own = own.select("place", none.alias("block"), "cls", none.alias("comp"), F.lit(0).alias("half"), *extra)
+    rows = own.unionByName(members.select("*", *[F.lit(None).cast(kinds[name]).alias(name) for name in extra]))
+    return rows.repartition("place").sortWithinPartitions("place", F.col("block").asc_nulls_first())
+
+
+def _tree_links(rows: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b): links that join components, from signature trees over each group.
+
+    The trees run twice: with bitmaps alone they say which classes of a place are in doubt, then
+    the sets of these are sent to the place, and what the trees leave over is compared there.
+    """
+    members = cut(_dealt(rows), "jaccard-dealt")
+    doubt = cut(
+        _at_places(members, classes.select("cls", "n", "bits")).mapInArrow(_tried(percent), "place long, cls long"),
+        "jaccard-doubt",
+    )
+    sets = _sets_of(doubt.select("cls").distinct(), docs, classes, words)
+    members = members.join(doubt, ["place", "cls"], "left_semi").select("place", "block", "cls", "comp", "half")
+    found = _at_places(members, sets.select("cls", "found")).mapInArrow(_linked(percent), "a long, b long")
+    return cut(found.distinct(), "jaccard-links")

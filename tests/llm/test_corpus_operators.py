@@ -76,6 +76,62 @@ def test_near_copies_of_one_text(spark, monkeypatch, block):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == want
 
 
+def thue_morse(size, first):
+    out = [first]
+    while len(out) < size:
+        out += [1 - x for x in out]
+    return "".join("ab"[x] for x in out)
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    rows = [(i + 1, " ".join([thue_morse(1024, first), *"pqrstu"])) for i, first in enumerate((0, 1))]
+    found = jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), words=1).collect()
+    assert {r.doc_id: r.component_id for r in found} == {1: 1, 2: 1}  # six of eight words in common
+    found = jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in found} == {1: 1, 2: 2}
+
+
+def test_large_groups_of_near_copies_stay_linear(spark, monkeypatch):
+    """5,000 near copies, of which hardly any two of different halves link."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(5_000):
+        words = [f"w{k}" for k in range(60)]
+        words[40:60] = [f"{'uv'[i % 2]}{k}" for k in range(20)]
+        words[int(rng.integers(0, 60))] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    seen = {}
+
+    def counted(name):
+        plain = getattr(jaccard_join, name)
+
+        def run(*args):
+            seen[name] = jaccard_join.cut(plain(*args), "counted")
+            seen[name + " in"] = args[0].count()
+            return seen[name]
+
+        monkeypatch.setattr(jaccard_join, name, run)
+
+    counted("_dealt")
+    counted("_tree_links")
+    found = jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    halves = {r.doc_id: r.component_id for r in found}
+    assert set(halves.values()) == {0, 1} and all(c == d % 2 for d, c in halves.items())
+    # Each block gives fewer links than it has members; of 12.5 million pairs few come out.
+    assert seen["_tree_links"].count() <= min(4 * 5_000, seen["_dealt"].count())
+    assert seen["_dealt"].count() <= 16 * max(seen["_dealt in"], 1)
+
+
+def test_an_outsider_meets_each_member_of_a_large_component_once(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 100)
+    rows = [(7, c, 50, 0 if c < 9_990 else c) for c in range(10_000)]
+    rows = spark.createDataFrame(rows, "key long, cls long, n long, comp long")
+    dealt = jaccard_join._dealt(jaccard_join._apart(rows)).collect()
+    assert len(dealt) < 1.5 * 10_000
+    met = {(r.place, r.block) for r in dealt if r.cls == 9_995}
+    assert {r.cls for r in dealt if (r.place, r.block) in met} == set(range(10_000))
+
+
 def test_signature_trees_drop_only_pairs_that_cannot_link():
     rng = np.random.default_rng(2)
     pool = rng.integers(0, 1 << 63, 4000).astype(np.uint64)
