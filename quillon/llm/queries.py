@@ -109,19 +109,23 @@ _SECRETS_SQL = f"""
             AND regexp_matches(value, '[0-9]') AND len(list_distinct(string_split(value, ''))) >= 12
             AND NOT EXISTS (SELECT 1 FROM base y WHERE y.doc_id = x.doc_id AND y.b < x.e AND x.b < y.e)
     ), owners AS (
-        SELECT value, count(DISTINCT coalesce('o' || source, 'n')) < {secrets.WIDE} AS live FROM mixed GROUP BY value
-    ), told AS (SELECT * FROM mixed JOIN owners USING (value) WHERE k < 3 OR live),
-    per AS (
+        SELECT value, count(DISTINCT coalesce('o' || source, 'n')) AS owners, count(DISTINCT coalesce('r' || doc_id, 'n')) AS repos
+        FROM mixed GROUP BY value
+    ), told AS (
+        SELECT *, owners < {secrets.WIDE} AND repos < {secrets.WIDE_REPOS} AS live FROM mixed JOIN owners USING (value)
+    ), per AS (
         SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access,
                count(*) FILTER (k = 2) AS n_hex,
                string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, k) FILTER (k < 3) AS base,
-               string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, k) AS spans,
-               count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_copied
+               string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, k) FILTER (k < 3 OR live) AS spans,
+               count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_copied,
+               max(repos) AS repos, max(owners) AS owners
         FROM told GROUP BY doc_id
     )
     SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
            sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
-           coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+           coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied,
+           coalesce(repos, 0) AS repos, coalesce(owners, 0) AS owners
     FROM documents LEFT JOIN per USING (doc_id)
 """
 

@@ -23,31 +23,74 @@ HEX = r"[0-9a-f]{16,}"
 #: Runs that may be bare credentials: 20 or more characters.
 BARE = r"[A-Za-z0-9_-]{20,}"
 KINDS = ("assign", "access", "hex", "owned")
-#: From so many owners on a value is a copied example.
-WIDE = 3
+#: From so many owners, or so many repositories, on a value is a copied example.
+WIDE, WIDE_REPOS = 3, 10
 SPAN = "struct<start:bigint,kind:int,end:bigint,value:string>"
 
 
+def _sliced(items: Column) -> Column:
+    """The array in slices of about the root of its size, so that work that copies or scans a
+    slice for each element stays far below the square."""
+    width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(items))).cast("int"))
+    count = F.ceil(F.size(items) / width).cast("int")
+    # One more, empty, where the array is empty.
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), count)), lambda k: F.slice(items, (k - 1) * width + 1, width))
+
+
+def _let(value: Column, then) -> Column:
+    """then(value), with the value worked out once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def found(text: Column, pattern: str, kind: int) -> Column:
     """Array of SPAN: the leftmost non-overlapping matches, in code points.
 
     What lies between the matches comes from splitting at them; running lengths give places.
     """
+    none = F.expr(f"CAST(array() AS array<{SPAN}>)")
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     pairs = F.zip_with(gaps, hits, lambda gap, hit: F.struct(F.length(gap).cast("long").alias("gap"), hit.alias("hit")))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.expr(f"CAST(array() AS array<{SPAN}>)").alias("spans"))
+    pairs = F.filter(pairs, lambda p: p["hit"].isNotNull())
 
     def step(acc: Column, pair: Column) -> Column:
         begin = acc["at"] + pair["gap"]
         end = begin + F.length(pair["hit"])
         value = F.regexp_extract(pair["hit"], ASSIGN, 2) if kind == 0 else pair["hit"]
         span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), value.alias("value"))
-        new = F.when(pair["hit"].isNull(), acc["spans"]).otherwise(F.concat(acc["spans"], F.array(span)))
-        return F.struct(F.coalesce(end, begin).cast("long").alias("at"), new.cast(f"array<{SPAN}>").alias("spans"))
+        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
 
-    spans = F.aggregate(pairs, start, step, lambda acc: acc["spans"])
-    return F.when(F.size(hits) == 0, F.expr(f"CAST(array() AS array<{SPAN}>)")).otherwise(spans)
+    def whole(acc: Column, part: Column) -> Column:
+        start = F.struct(acc["at"].alias("at"), none.alias("spans"))
+        return _let(
+            F.aggregate(part, start, step),
+            lambda own: F.struct(own["at"].alias("at"), F.concat(acc["spans"], own["spans"]).alias("spans")),
+        )
+
+    start = F.struct(F.lit(0).cast("long").alias("at"), none.alias("spans"))
+    spans = _let(pairs, lambda p: F.aggregate(_sliced(p), start, whole, lambda acc: acc["spans"]))
+    return F.when(F.size(hits) == 0, none).otherwise(spans)
+
+
+def apart(spans: Column, others: Column) -> Column:
+    """The spans that look random and overlap none of the others."""
+    part = F.transform(
+        F.filter(_sliced(others), lambda p: F.size(p) > 0),
+        lambda p: F.struct(
+            F.array_min(F.transform(p, lambda o: o["start"])).alias("low"),
+            F.array_max(F.transform(p, lambda o: o["end"])).alias("high"),
+            p.alias("inside"),
+        ),
+    )
+
+    def met(s: Column, parts: Column) -> Column:
+        over = lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"])
+        return F.exists(parts, lambda p: (p["low"] < s["end"]) & (s["start"] < p["high"]) & F.exists(p["inside"], over))
+
+    random = F.filter(spans, lambda s: _looks_random(s["value"]))
+    return F.when(F.size(spans) == 0, spans).otherwise(
+        _let(part, lambda parts: F.filter(random, lambda s: ~met(s, parts)))
+    )
 
 
 def joined(spans: Column) -> Column:
@@ -72,15 +115,15 @@ def scan(
     repo_col: str = "doc_id",
     owner_col: str = "source",
     wide: int = WIDE,
-    wide_repos: int | None = None,
+    wide_repos: int = WIDE_REPOS,
 ) -> DataFrame:
-    """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied.
+    """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied,
+    repos, owners.
 
-    n_live and n_copied count the document's spans, ``owned`` ones included, whose value has fewer
-    than wide owners, or wide and more. With wide_repos, a value of so many repositories is copied
-    too, however few its owners, and the columns repos and owners follow: the most distinct ones
-    of any value of the document, 0 without values. Both counts are exact. A null repository or owner counts as one of its own. Null
-    and empty texts have no spans: counts 0, the digest of the empty string, an empty spans
+    A value that wide owners or wide_repos repositories hold is copied, any other one live; both
+    counts are exact. n_live and n_copied count the document's spans, ``owned`` candidates
+    included, by that. repos and owners are the most distinct ones of any value of the document, 0
+    without values. A null repository or owner counts as one of its own. Null and empty texts have no spans: counts 0, the digest of the empty string, an empty spans
     string. Rows that repeat an id are scanned each. An empty table gives no rows.
     """
     docs = pick(docs, id_col, text_col, repo_col, owner_col).toDF("doc_id", "text", "repo", "owner")
@@ -96,13 +139,8 @@ def scan(
         found(text, BARE, 3).alias("bare"),
     )
     rows = rows.withColumn("base", F.concat("assign", "access", "hex"))
-    apart = F.filter(
-        F.col("bare"),
-        lambda s: _looks_random(s["value"])
-        & ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
-    )
     hashed = F.transform(
-        F.concat("base", apart),
+        F.concat("base", apart(F.col("bare"), F.col("base"))),
         lambda s: F.struct(s["start"], s["kind"], s["end"], F.sha2(s["value"], 256).alias("value")),
     )
     rows = cut(
@@ -117,33 +155,20 @@ def scan(
         "secrets-rows",
     )
     spans = rows.where(F.size("all") > 0).select("row", "owner", "repo", F.inline("all"))
-    owners = _wide(spans, "owner", "owners")
-    live = F.col("owners") < wide
-    if wide_repos is not None:
-        owners = owners.join(_wide(spans, "repo", "repos"), "value")
-        live &= F.col("repos") < wide_repos
-    counts = [name for name in ("repos", "owners") if wide_repos is not None]
-    held = spans.select("row", "start", "kind", "end", "value").join(owners, "value").withColumn("live", live)
-    most = held.groupBy("row").agg(*[F.max(name).alias(name) for name in counts]) if counts else None
-    told = (
-        held
-        .where("kind < 3 OR live")
-        .groupBy("row")
-        .agg(
-            joined(F.collect_list(F.struct("start", "kind", "end", "value"))).alias("spans"),
-            F.count_if("live").alias("n_live"),
-            F.count_if(~F.col("live")).alias("n_copied"),
-        )
+    counted = _wide(spans, "owner", "owners").join(_wide(spans, "repo", "repos"), "value")
+    live = (F.col("owners") < wide) & (F.col("repos") < wide_repos)
+    held = spans.select("row", "start", "kind", "end", "value").join(counted, "value").withColumn("live", live)
+    told = held.groupBy("row").agg(
+        joined(F.collect_list(F.when((F.col("kind") < 3) | F.col("live"), F.struct("start", "kind", "end", "value")))).alias("spans"),
+        F.count_if("live").alias("n_live"),
+        F.count_if(~F.col("live")).alias("n_copied"),
+        F.max("repos").alias("repos"),
+        F.max("owners").alias("owners"),
     )
-    out = rows.join(told, "row", "left")
-    if most is not None:
-        out = out.join(most, "row", "left")
-    return out.select(
+    return rows.join(told, "row", "left").select(
         "doc_id", "n_assign", "n_access", "n_hex", "base_sha256",
         F.coalesce("spans", F.lit("")).alias("spans"),
-        F.coalesce("n_live", F.lit(0).cast("long")).alias("n_live"),
-        F.coalesce("n_copied", F.lit(0).cast("long")).alias("n_copied"),
-        *[F.coalesce(name, F.lit(0).cast("long")).alias(name) for name in counts],
+        *[F.coalesce(name, F.lit(0).cast("long")).alias(name) for name in ("n_live", "n_copied", "repos", "owners")],
     )
 
 

@@ -265,6 +265,19 @@ def test_repositories_decide_with_owners(spark):
     assert all((rows[i].n_live, rows[i].n_copied, rows[i].repos, rows[i].owners, rows[i].spans) == (0, 0, 40, 1, "") for i in range(40))
     assert all((rows[i].n_live, rows[i].n_copied, rows[i].repos, rows[i].spans) == (1, 0, 2, "owned:4:25") for i in (40, 41))
     assert (rows[42].repos, rows[42].owners) == (0, 0)
+    rows = secrets.scan(df.where("doc_id < 5 OR doc_id >= 40")).collect()
+    assert sorted(r.n_live for r in rows) == [0] + [1] * 7
+
+
+def test_many_secrets_in_one_text(spark):
+    """Places stay right over many slices; so does what overlaps."""
+    lines = [f"{k:032x} -" if k % 3 else f"token: Ab1Cd2Ef3Gh4Ij5K{k:08d}" for k in range(4_000)]
+    text = "\n".join(lines)
+    df = spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")
+    row = secrets.scan(df).first()
+    assert (row.n_assign, row.n_access, row.n_hex) == (1_334, 0, 2_666)
+    digest = ",".join(x[2] for x in brute_base(text))
+    assert row.base_sha256 == sha256(digest.encode()).hexdigest() and row.spans == digest
 
 
 # -- nearest neighbours
