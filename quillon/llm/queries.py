@@ -118,7 +118,7 @@ _SECRETS_SQL = f"""
                count(*) FILTER (k = 2) AS n_hex,
                string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, k) FILTER (k < 3) AS base,
                string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, k) FILTER (k < 3 OR live) AS spans,
-               count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_copied,
+               count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live AND k < 3) AS n_copied,
                max(repos) AS repos, max(owners) AS owners
         FROM told GROUP BY doc_id
     )

@@ -121,9 +121,9 @@ def scan(
     repos, owners.
 
     A value that wide owners or wide_repos repositories hold is copied, any other one live; both
-    counts are exact. n_live and n_copied count the document's spans, ``owned`` candidates
-    included, by that. repos and owners are the most distinct ones of any value of the document, 0
-    without values. A null repository or owner counts as one of its own. Null and empty texts have no spans: counts 0, the digest of the empty string, an empty spans
+    counts are exact. n_live and n_copied count the document's reported spans by
+    that. repos and owners are the most distinct ones of any value of the document, runs that are
+    not reported included, 0 without values. A null repository or owner counts as one of its own. Null and empty texts have no spans: counts 0, the digest of the empty string, an empty spans
     string. Rows that repeat an id are scanned each. An empty table gives no rows.
     """
     docs = pick(docs, id_col, text_col, repo_col, owner_col).toDF("doc_id", "text", "repo", "owner")
@@ -161,7 +161,7 @@ def scan(
     told = held.groupBy("row").agg(
         joined(F.collect_list(F.when((F.col("kind") < 3) | F.col("live"), F.struct("start", "kind", "end", "value")))).alias("spans"),
         F.count_if("live").alias("n_live"),
-        F.count_if(~F.col("live")).alias("n_copied"),
+        F.count_if(~F.col("live") & (F.col("kind") < 3)).alias("n_copied"),
         F.max("repos").alias("repos"),
         F.max("owners").alias("owners"),
     )
