@@ -6,11 +6,13 @@
 from __future__ import annotations
 
 import argparse
+import csv
 import re
 import sys
 from pathlib import Path
 
 from pyspark.sql import SparkSession
+from pyspark.sql import types as T
 
 from quillon import display
 from quillon.functions.values import QueryError
@@ -126,7 +128,7 @@ class Shell:
         plain = [w for w in words if w[0] != "+"]
         path = plain[0]
         if path == "-":
-            return self.load_lines(sys.stdin.read().splitlines(), plain[1] if len(plain) > 1 else "stdin")
+            return self.load_lines(sys.stdin.read().splitlines(keepends=True), plain[1] if len(plain) > 1 else "stdin")
         if (Path(path) / workspace.MANIFEST).exists():
             return "Loaded: " + ", ".join(workspace.load(self.session, path))
         name = plain[1] if len(plain) > 1 else Path(path).stem
@@ -139,12 +141,10 @@ class Shell:
 
     def load_lines(self, lines: list[str], name: str) -> str:
         """CSV text that the driver has read, such as standard input."""
-        spark = self.session.spark
-        header = [h.strip() for h in lines[0].split(",")] if lines else []
-        schema = ", ".join(f"`{h}` string" for h in header)
-        text = spark.createDataFrame([(x,) for x in lines[1:]], "value string")
-        rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").csv(text.rdd.map(lambda r: r.value))
-        self.session.bind(name, tables.typed(rows.fillna("")))
+        header, *rows = csv.reader(line if line.endswith("\n") else line + "\n" for line in lines) if lines else [[]]
+        schema = T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(len(header))])
+        cells = self.session.spark.createDataFrame([tuple(r) for r in rows if len(r) == len(header)], schema)
+        self.session.bind(name, tables.typed(tables.headed(cells, header)))
         return f"Loaded: {name}"
 
 
@@ -203,7 +203,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             name, _, path = file.rpartition("=")
             stem = name or Path(path).stem
             if path == "-":
-                shell.load_lines(sys.stdin.read().splitlines(), name or "stdin")
+                shell.load_lines(sys.stdin.read().splitlines(keepends=True), name or "stdin")
             else:
                 make = {} if given.genkey is None else {given.genkey or f"{stem}_id": "key"}
                 shell.session.bind(stem, tables.csv(spark, path, make))

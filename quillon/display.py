@@ -40,17 +40,20 @@ def _cells(relation: Relation, limit: int | None) -> tuple[list[str], list[list[
 
 
 def table(relation: Relation, limit: int = SHOWN) -> str:
-    """A bordered table; a rotated relation gives one block for each row."""
-    names, rows = _cells(relation, limit)
+    """A bordered table; a rotated relation gives one block for each row. Rows beyond the limit are
+    not shown, which a last line says."""
+    names, rows = _cells(relation, limit + 1)
+    more = f"\n(more than {limit} rows; the rest is not shown)" if len(rows) > limit else ""
+    rows = rows[:limit]
     if relation.vertical:
         width = max(map(len, names), default=0)
-        return "\n\n".join("\n".join(f"{n.ljust(width)} : {c}" for n, c in zip(names, r, strict=True)) for r in rows)
+        return "\n\n".join("\n".join(f"{n.ljust(width)} : {c}" for n, c in zip(names, r, strict=True)) for r in rows) + more
     if not names:
         return "(no attributes)"
     widths = [max(map(len, [n, *(r[i] for r in rows)])) for i, n in enumerate(names)]
     line = "+" + "+".join("-" * (w + 2) for w in widths) + "+"
     shape = lambda cells: "| " + " | ".join(c.ljust(w) for c, w in zip(cells, widths, strict=True)) + " |"
-    return "\n".join([line, shape(names), line, *map(shape, rows), line])
+    return "\n".join([line, shape(names), line, *map(shape, rows), line]) + more
 
 
 def as_csv(relation: Relation, header: bool = True) -> str:
@@ -68,4 +71,4 @@ def write_csv(relation: Relation, path: str, header: bool = True) -> None:
     this = relation if relation.ordered else relation.as_set()
     types = this.types
     cols = [F.to_json(column(n)).alias(n) if is_nested(types[n]) else text(Value(column(n), types[n])).alias(n) for n in this.df.columns]
-    this.df.select(*cols).write.mode("overwrite").option("header", header).csv(path)
+    this.df.select(*cols).write.mode("overwrite").option("header", header).option("escape", '"').csv(path)

@@ -222,7 +222,7 @@ class Compare(Expr):
     def _matches(self, s: Column, scope: Scope) -> Column:
         if isinstance(self.right, Lit):
             return s.rlike(patterns.java(str(self.right.raw)))
-        return F.regexp_like(s, text(self.right.value(scope)))
+        return F.regexp_like(s, patterns.java_column(text(self.right.value(scope))))
 
 
 @dataclass(frozen=True)

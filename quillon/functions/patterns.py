@@ -25,18 +25,48 @@ def java(pattern: str) -> str:
     return "(?U)" + out.replace(r"\Z", r"\z")
 
 
+def java_column(pattern: Column) -> Column:
+    """The same for patterns that are only known row by row."""
+    for name, new in ((r"\(\?P<(\w+)>", r"(?<$1>"), (r"\(\?P=(\w+)\)", r"\\k<$1>"), (r"\\Z", r"\\z")):
+        pattern = F.regexp_replace(pattern, F.lit(name), F.lit(new))
+    return F.concat(F.lit("(?U)"), pattern)
+
+
+REFERENCE = re.compile(r"\\g<(\w+)>|\\(\d{1,2})|\\\\|([$\\])")
+
+
 def java_replacement(replacement: str) -> str:
-    """A replacement of re.sub: group references become $1, a dollar stays a dollar."""
-    out = replacement.replace("$", r"\$")
-    out = re.sub(r"\\g<(\d+)>", r"${\1}", out).replace("${", "$").replace("}", "") if r"\g<" in out else out
-    return re.sub(r"\\(\d)", r"$\1", out)
+    """A replacement of re.sub: references to groups become Java's, a dollar stays a dollar."""
+
+    def new(found: re.Match) -> str:
+        group = found[1] or found[2]
+        if group is None:
+            return "\\" + (found[3] or "\\")
+        if not group.isdigit():
+            return "${" + group.replace("_", "") + "}"
+        # Java takes the digits that follow for a part of the number.
+        after = found.string[found.end() : found.end() + 1]
+        return f"${int(group)}" + ("\\" if after.isdigit() else "")
+
+    return REFERENCE.sub(new, replacement)
+
+
+def pieces(s: Column, pattern: str) -> Column:
+    """The pieces of a text, and between them what each group of the pattern matched; empty text
+    where a group took no part."""
+    groups = re.compile(pattern).groups if java(pattern) else 0
+    gaps = F.split(s, java(pattern), -1)
+    if not groups:
+        return gaps
+    hits = [F.regexp_extract_all(s, F.lit(java(pattern)), F.lit(k + 1)) for k in range(groups)]
+    both = F.struct(gaps.alias("gaps"), *[h.alias(f"h{k}") for k, h in enumerate(hits)])
 
+    def mixed(all_: Column) -> Column:
+        at = lambda i: F.array(*[F.get(all_[f"h{k}"], i) for k in range(groups)])
+        last = F.size(all_["gaps"]) - 1
+        return F.flatten(F.transform(all_["gaps"], lambda gap, i: F.when(i == last, F.array(gap)).otherwise(F.concat(F.array(gap), at(i)))))
 
-def groups_apart(pattern: str) -> str:
-    """For splitting: Python also returns what groups match, so they are refused."""
-    if re.compile(pattern).groups:
-        raise QueryError("a splitting pattern must not have groups; use (?:...)")
-    return java(pattern)
+    return F.get(F.transform(F.array(both), mixed), F.lit(0))
 
 
 def keyword(v: Value, word: str) -> Value:
@@ -122,35 +152,84 @@ def _date_token(d: Column, token: str) -> Column:
     return tokens[token]()
 
 
-SPEC = re.compile(r"(?:(.)?([<>^]))?(0)?(\d+)?(,)?(?:\.(\d+))?([dfs%])?")
+SPEC = re.compile(r"(?:(.)?([<>^=]))?([-+ ])?(0)?(\d+)?([,_])?(?:\.(\d+))?([bdeEfFosxX%])?")
+
+
+def _digits(v: Value, places: int) -> Column:
+    """A number's size as text with so many places, rounded as Python does: the exact value, ties
+    to even. A double is its 53 bits over a power of two, so its exact value is weighed in whole
+    numbers; those too large or too small for that are rounded from their shortest form."""
+    if not isinstance(v.type, T.DoubleType):
+        return F.abs(F.bround(v.col.cast(T.DecimalType(38, 18)), places)).cast(T.DecimalType(38, places)).cast(STR)
+    whole = T.DecimalType(38, 0)
+    size = F.abs(v.col)
+    shift = F.lit(61) - F.floor(F.log2(F.when(size > 0, size).otherwise(1.0))).cast("int")
+    fits = (size == 0) | ((size >= 1e-12) & (size * 10.0**places < 9e15) & (shift <= 120))
+    top = (size * F.pow(F.lit(2.0), shift)).cast("long").cast(T.DecimalType(19, 0)) * F.lit(10**places).cast(T.DecimalType(19, 0))
+    low = F.pow(F.lit(2.0), F.least(shift, F.lit(60))).cast("long").cast(T.DecimalType(19, 0)) * F.pow(
+        F.lit(2.0), F.greatest(shift - 60, F.lit(0))
+    ).cast("long").cast(T.DecimalType(19, 0))
+    top, low = top.cast(whole), low.cast(whole)
+    quotient = F.call_function("div", top, low)
+    twice = ((top % low) * 2).cast(whole)
+    up = (twice > low) | ((twice == low) & (quotient % 2 == 1))
+    units = F.lpad((quotient + up.cast("long")).cast(STR), F.greatest(F.lit(places + 1), F.length(quotient.cast(STR)) + 1), "0")
+    units = F.regexp_replace(units, f"^0+(?=.{{{places + 1}}})", "")
+    exact = units
+    if places:
+        cut_ = F.length(exact) - places
+        exact = F.concat(F.substr(exact, F.lit(1), cut_), F.lit("."), F.substr(exact, cut_ + 1))
+    return F.when(fits & (F.lit(places) <= 15), exact).otherwise(F.format_string(f"%.{places}f", size))
+
+
+def _grouped(digits: Column, mark: str) -> Column:
+    """Thousands set apart in the part before the point."""
+    head = F.regexp_extract(digits, r"^\d+", 0)
+    apart = F.regexp_replace(head, r"(?<=\d)(?=(\d{3})+$)", mark)
+    return F.concat(apart, F.substr(digits, F.length(head) + 1))
 
 
 def formatted(v: Value, spec: str) -> Column:
-    """A value in Python's format mini-language: fill, alignment, zeros, width, commas, places."""
+    """A value in Python's format mini-language: fill, alignment, sign, zeros, width, marks between
+    thousands, places and the kinds b d e E f F o s x X %."""
     found = SPEC.fullmatch(spec)
     if not found:
         raise QueryError(f"format {spec!r} is not supported")
-    fill, align, zeros, width, commas, places, kind = found.groups()
-    if kind in ("d", "f", "%") or places and kind != "s" or commas:
-        col = number(v, "this format").col
-        if kind == "%":
-            col = col * 100
-        digits = int(places) if places else 6 if kind in ("f", "%") else 0
-        whole = kind == "d" or (not places and kind is None)
-        shown = F.format_string(f"%{',' if commas else ''}{'d' if whole else f'.{digits}f'}", col.cast(INT if whole else "double"))
-        body = F.concat(shown, F.lit("%")) if kind == "%" else shown
+    fill, align, sign, zeros, width, mark, places, kind = found.groups()
+    sign_text = F.lit("")
+    numeric = kind not in (None, "s") or mark or sign or (kind is None and is_number(v.type)) or (places and kind != "s")
+    if numeric:
+        v = number(v, "this format")
+        if kind in ("b", "d", "o", "x", "X") and not isinstance(v.type, T.LongType):
+            raise QueryError(f"format {spec!r} needs whole numbers")
+        if kind is None and places:
+            raise QueryError(f"format {spec!r} needs a kind, such as f")
+        negative = v.col < 0
+        if kind in ("e", "E"):
+            body = F.format_string(f"%.{places or 6}{kind}", F.abs(v.col.cast("double")))
+        elif kind in ("f", "F", "%"):
+            wide = Value(v.col * 100, v.type) if kind == "%" else v
+            body = F.concat(_digits(wide, int(places or 6)), F.lit("%" if kind == "%" else ""))
+        elif kind in ("x", "X", "o", "b"):
+            body = F.format_string(f"%{kind}", F.abs(v.col)) if kind != "b" else F.bin(F.abs(v.col))
+        else:
+            body = F.regexp_replace(text(v), "^-", "")
+        body = _grouped(body, mark) if mark else body
+        plus = {"+": "+", " ": " "}.get(sign or "", "")
+        sign_text = F.when(negative, F.lit("-")).otherwise(F.lit(plus))
     else:
         body = text(v)
         if places:
             body = F.substring(body, 1, int(places))
     if not width:
-        return body
-    n = F.greatest(F.lit(int(width)), F.length(body)).cast("int")
-    if zeros:
-        sign = F.when(F.startswith(body, F.lit("-")), F.lit("-")).otherwise(F.lit(""))
-        return F.concat(sign, F.lpad(F.ltrim(body, F.lit("-")), n - F.length(sign), F.lit("0")))
-    align = align or (">" if is_number(v.type) else "<")
+        return F.concat(sign_text, body)
+    size = F.greatest(F.lit(int(width)), F.length(body) + F.length(sign_text)).cast("int")
+    if align == "=" or zeros and not align:
+        return F.concat(sign_text, F.lpad(body, size - F.length(sign_text), F.lit(fill or ("0" if zeros else " "))))
+    body = F.concat(sign_text, body)
+    fill = fill or ("0" if zeros else " ")
+    align = align or (">" if numeric else "<")
     if align == "^":
-        left = F.floor((n - F.length(body)) / 2).cast("int")
-        return F.rpad(F.lpad(body, F.length(body) + left, F.lit(fill or " ")), n, F.lit(fill or " "))
-    return (F.lpad if align == ">" else F.rpad)(body, n, F.lit(fill or " "))
+        left = F.floor((size - F.length(body)) / 2).cast("int")
+        return F.rpad(F.lpad(body, F.length(body) + left, F.lit(fill)), size, F.lit(fill))
+    return (F.lpad if align == ">" else F.rpad)(body, size, F.lit(fill))

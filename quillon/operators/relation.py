@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -425,21 +426,24 @@ class Relation:
 
     def _ranked(self, keys: Sequence[tuple[str, bool]], rank: str) -> DataFrame:
         """The distinct sort keys with their dense rank. Ranks of a partition start where those
-        before it end: partitions are ranges of the keys, counted first, so no task sees all."""
+        before it end: partitions are ranges of the keys, counted first, so no task sees all. The
+        ranges are kept on the executors' disks, as counting and ranking must see the same ones;
+        sampled a second time, their borders could differ."""
         names = [n for n, _ in keys]
         order = self._order(keys)
         part, own, before = (f"_{x}{next(FRESH)}" for x in ("part", "own", "before"))
         distinct = self.df.select(*map(column, dict.fromkeys(names))).distinct()
-        ranges = distinct.repartitionByRange(*order).withColumn(part, F.spark_partition_id())
+        ranges = distinct.repartitionByRange(*order).sortWithinPartitions(*order)
+        ranges = ranges.withColumn(own, F.monotonically_increasing_id()).persist(StorageLevel.DISK_ONLY)
+        # The id's upper bits are the partition, its lower 33 bits the row's place in it.
+        ranges = ranges.withColumn(part, F.shiftright(own, 33)).withColumn(own, column(own).bitwiseAND((1 << 33) - 1) + 1)
         counts = ranges.groupBy(part).agg(F.count(F.lit(1)).alias(before))
         starts = counts.withColumn(
             before,
             F.coalesce(F.sum(before).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
         )
-        within = Window.partitionBy(part).orderBy(*order)
         return (
-            ranges.withColumn(own, F.row_number().over(within))
-            .join(F.broadcast(starts), part)
+            ranges.join(F.broadcast(starts), part)
             .withColumn(rank, (column(own) + column(before)).cast(INT))
             .drop(part, own, before)
         )
@@ -498,7 +502,7 @@ class Relation:
         for n in new:
             if n in kept:
                 raise QueryError(f"attribute {n!r} is there already")
-        pieces = F.split(column(name), patterns.groups_apart(pattern), -1)
+        pieces = patterns.pieces(column(name), pattern)
         at = f"_at{next(FRESH)}"
         df = this.df.select(*map(column, kept), F.posexplode(pieces).alias(at, new[0]))
         if len(new) == 2:

@@ -227,7 +227,12 @@ class GroupScope(Scope):
         if agg.op == "collect":
             return collected({agg.name: v.type})
         if agg.op in ("max", "min"):
-            found = F.max(v.col) if agg.op == "max" else F.min(v.col)
+            most, by = (F.max, F.max_by) if agg.op == "max" else (F.min, F.min_by)
+            found = most(v.col)
+            if isinstance(v.type, T.StringType):
+                # Text that is all numbers is compared as numbers.
+                as_number = v.col.try_cast(WIDE)
+                found = F.when(F.bool_and(as_number.isNotNull()), by(v.col, F.struct(as_number, v.col))).otherwise(found)
             return Value(_present(found, v.type, agg.op), v.type)
         v = number(v, agg.op)
         if agg.op == "sum":

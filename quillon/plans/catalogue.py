@@ -5,11 +5,18 @@ Each query is text of the language over the tables of a folder; its last line is
 
 from __future__ import annotations
 
+import re
+import uuid
+from collections.abc import Iterable
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quillon import display
 from quillon.session import Session
+from quillon.sources import tables
+from quillon.sources.tables import shared_dir
 
 #: Keys of the tables. lineitem has none, but its rows are distinct.
 KEYS = {
@@ -244,6 +251,27 @@ customer # c_custkey *: mine: mine +: n: #. mine #! mine""",
                   lpad(CAST(n_nationkey AS VARCHAR), 4, '0') || '/' || lpad(n_name, greatest(16, length(n_name))::INT, ' ') || '|'
                   || rpad(n_name, greatest(16, length(n_name))::INT, ' ') || '|' AS label FROM nation""",
     ),
+    "q_format_numbers": (
+        "part # [p_partkey p_retailprice p_size] +: tie: p_retailprice / 8 +: label: \"{tie:.2f} {p_retailprice:.0f} {p_size:+d} {p_size:x} {tie:,.3f} {p_size:08.1f} {p_retailprice:^+12.1f}|{p_size:_}\" .f # [p_partkey label]",
+        """SELECT p_partkey, printf('%.2f %.0f %+d %x ', p_retailprice / 8, p_retailprice, p_size, p_size)
+                  || format('{:,}', CAST(trunc(p_retailprice / 8) AS BIGINT)) || right(printf('%.3f', p_retailprice / 8), 4)
+                  || printf(' %08.1f ', CAST(p_size AS DOUBLE))
+                  || format('{:^+12.1f}', p_retailprice) || '|' || p_size AS label FROM part""",
+    ),
+    "q_replace_named": (
+        "part # [p_partkey p_type] +: r: p_type .r \"(?P<first>[A-Z])(?P<rest_of>[A-Z]+)\" \"\\\\g<rest_of>$\\\\g<1>0\"",
+        "SELECT p_partkey, p_type, regexp_replace(p_type, '([A-Z])([A-Z]+)', '\\2$\\10', 'g') AS r FROM part",
+    ),
+    "q_split_groups": (
+        "customer # [c_custkey c_name] /> [piece at]: c_name \"(#)(0*)\"",
+        """WITH s AS (SELECT c_custkey, [split_part(c_name, '#', 1), '#', regexp_extract(c_name, '#(0*)', 1),
+                  regexp_replace(c_name, '^.*#0*', '')] AS p FROM customer)
+           SELECT c_custkey, unnest(p) AS piece, CAST(generate_subscripts(p, 1) AS BIGINT) AS at FROM s""",
+    ),
+    "q_text_extremes": (
+        "part # [p_partkey p_brand p_size] +: size: p_size .as str /. p_brand [most: >. size least: <. size]",
+        "SELECT p_brand, CAST(max(p_size) AS VARCHAR) AS most, CAST(min(p_size) AS VARCHAR) AS least FROM part GROUP BY 1",
+    ),
     "q_date_parts": (
         "orders # [o_orderkey o_orderdate] +: [y: o_orderdate .d \"year\" m: o_orderdate .d \"month\" w: o_orderdate .d \"week\" dow: o_orderdate .d \"dow\" q: o_orderdate .d \"q\" qq: o_orderdate .d \"qq\"] #! o_orderdate",
         """SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, week(o_orderdate) AS w, isodow(o_orderdate) AS dow,
@@ -333,16 +361,17 @@ big *. (orders @ o_custkey c_custkey) /. c_custkey [n: #.]""",
 }
 
 
-def session(spark: SparkSession, sf_dir: str) -> Session:
-    """A session with the tables of the folder; only those that a query names are ever read."""
+def session(spark: SparkSession, sf_dir: str, names: Iterable[str] = tuple(KEYS)) -> Session:
+    """A session with these tables of the folder. Binding one lists its files and reads a footer."""
     out = Session(spark)
-    for name, key in KEYS.items():
-        out.bind(name, spark.read.parquet(f"{sf_dir}/{name}.parquet"), key, trusted=True)
+    for name in names:
+        out.bind(name, spark.read.parquet(f"{sf_dir}/{name}.parquet"), KEYS[name], trusted=True)
     return out
 
 
 def run(spark: SparkSession, sf_dir: str, statements: str) -> DataFrame:
-    own = session(spark, sf_dir)
+    named = set(re.findall(r"\w+", statements))
+    own = session(spark, sf_dir, [name for name in KEYS if name in named])
     last = None
     for line in statements.splitlines():
         last = own.run(line)
@@ -354,9 +383,25 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(spark, sf_dir, CATALOGUE["q_flagship"][0])
 
 
+def read_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table with quotes, commas and line breaks in its cells, written as CSV and read again."""
+    folder = f"{shared_dir(spark)}/quillon-{spark.sparkContext.applicationId}/csv-{uuid.uuid4().hex}"
+    own = session(spark, sf_dir, ["part"])
+    written = own.run(CSV_ROWS)
+    written = written._with(written.df.withColumn("note", F.replace("note", F.lit("/"), F.lit("\n"))))
+    display.write_csv(written, folder)
+    return tables.csv(spark, folder).as_set().df.withColumn("p_retailprice", F.col("p_retailprice").cast("double"))
+
+
+#: The rows that read_csv writes; a line break stands for each slash.
+CSV_ROWS = """part # [p_partkey p_name p_retailprice] +: note: "say \\"{p_name}\\", / {p_partkey} \\\\" .f #! p_name"""
+CSV_SQL = """SELECT p_partkey, p_retailprice,
+                    'say "' || p_name || '", ' || chr(10) || ' ' || p_partkey || ' ' || chr(92) AS note FROM part"""
+
+
 def queries() -> dict:
-    return {name: partial(run, statements=text) for name, (text, _) in CATALOGUE.items()}
+    return {name: partial(run, statements=text) for name, (text, _) in CATALOGUE.items()} | {"q_csv": read_csv}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in CATALOGUE.items()}
+    return {name: sql for name, (_, sql) in CATALOGUE.items()} | {"q_csv": CSV_SQL}

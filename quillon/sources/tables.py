@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.functions.values import INT, STR, QueryError
 from quillon.operators.relation import Relation
-from quillon.operators.scopes import column
+from quillon.operators.scopes import FRESH, column
 
 #: The sample relations (fixed values).
 SAMPLE = {
@@ -36,17 +42,44 @@ def sample(spark: SparkSession) -> dict[str, Relation]:
     return {n: Relation.bind(spark.createDataFrame(rows, schema), trusted=True) for n, (schema, rows) in SAMPLE.items()}
 
 
-def csv(spark: SparkSession, path: str, make: dict[str, str] | None = None) -> Relation:
-    """A CSV file with a header. Rows of the wrong width are skipped, names are stripped, empty
-    cells are empty text, and a column is int, decimal or bool if all its cells are.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share; a temporary one in a local session without any."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise QueryError("set spark.checkpoint.dir to a folder that all executors share")
+        made = tempfile.mkdtemp(prefix="quillon-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        named = "file://" + made
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named
+
+
+#: RFC 4180: quotes are doubled inside quotes, a backslash is a character like any other.
+DIALECT = {"quote": '"', "escape": '"', "mode": "DROPMALFORMED", "inferSchema": "false"}
+
+
+def csv(spark: SparkSession, path: str, make: dict[str, str] | None = None, split: bool = False) -> Relation:
+    """A CSV file, or a folder of them, each with a header. Rows of the wrong width are skipped,
+    names are stripped, of columns with one name the last stays, empty cells are empty text, and a
+    column is int, decimal or bool if all its cells are.
 
+    split: no cell holds a line break, so that large files can be read in parts.
     make: columns to add, name to kind (``key``: 1, 2, ... in file order; ``uuid``; ``hash``).
     """
     spark.conf.set("spark.sql.csv.parser.columnPruning.enabled", "false")
-    lines = spark.read.option("header", True).option("mode", "DROPMALFORMED").option("inferSchema", False).csv(path)
-    names = [n.strip() for n in lines.columns]
-    lines = lines.toDF(*names).fillna("")
-    return typed(lines, make)
+    reader = spark.read.options(**DIALECT, multiLine=str(not split).lower())
+    header = reader.csv(path).first()
+    if header is None:
+        return typed(spark.createDataFrame([], T.StructType([])), make)
+    schema = T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(len(header))])
+    return typed(headed(reader.schema(schema).option("header", True).csv(path), [n or "" for n in header]), make)
+
+
+def headed(lines: DataFrame, header: list[str]) -> DataFrame:
+    """The text columns under their names; of columns with one name the last stays."""
+    place = {name.strip(): f"_{i}" for i, name in enumerate(header)}
+    return lines.select(*[F.coalesce(at, F.lit("")).alias(name) for name, at in place.items()])
 
 
 def typed(lines: DataFrame, make: dict[str, str] | None = None) -> Relation:
@@ -60,11 +93,13 @@ def typed(lines: DataFrame, make: dict[str, str] | None = None) -> Relation:
         whole = c.rlike(r"^\s*[-+]?\d+\s*$") & c.try_cast(INT).isNotNull()
         number = c.rlike(r"^\s*[-+]?(\d+\.?\d*|\.\d+)\s*$")
         scale = F.max(F.length(F.regexp_extract(c, r"\.(\d+)\s*$", 1)))
+        before = F.max(F.length(F.regexp_extract(c, r"^\s*[-+]?0*(\d*)", 1)))
         flag = F.lower(c).isin("true", "false")
         tests += [
             F.coalesce(F.bool_and(whole), F.lit(False)).alias(f"w{i}"),
             F.coalesce(F.bool_and(number), F.lit(False)).alias(f"n{i}"),
             scale.alias(f"s{i}"),
+            before.alias(f"d{i}"),
             F.coalesce(F.bool_and(flag), F.lit(False)).alias(f"b{i}"),
         ]
     facts = lines.agg(*tests).first()
@@ -73,8 +108,9 @@ def typed(lines: DataFrame, make: dict[str, str] | None = None) -> Relation:
         c = column(n)
         if facts[f"w{i}"]:
             c = F.trim(c).cast(INT)
-        elif facts[f"n{i}"]:
-            c = F.trim(c).cast(T.DecimalType(38, min(18, facts[f"s{i}"] or 0)))
+        elif facts[f"n{i}"] and facts[f"s{i}"] <= 18 and facts[f"s{i}"] + facts[f"d{i}"] <= 38:
+            # Numbers with more digits than a decimal holds stay text.
+            c = F.trim(c).cast(T.DecimalType(38, facts[f"s{i}"]))
         elif facts[f"b{i}"]:
             c = F.lower(c) == "true"
         cols.append(c.alias(n))
@@ -91,12 +127,28 @@ def typed(lines: DataFrame, make: dict[str, str] | None = None) -> Relation:
 def _made(df: DataFrame, name: str, kind: str) -> DataFrame:
     if name in df.columns:
         raise QueryError(f"attribute {name!r} is there already")
-    if kind == "key":
-        schema = T.StructType([T.StructField(name, INT, False), *df.schema.fields])
-        numbered = df.rdd.zipWithIndex().map(lambda x: (x[1] + 1, *x[0]))
-        return df.sparkSession.createDataFrame(numbered, schema)
+    if kind in ("key", "uuid"):
+        # The upper bits of the id are the partition, its lower 33 bits the row's place in it; the
+        # same in each run over the same files.
+        row = F.monotonically_increasing_id()
     if kind == "uuid":
-        return df.withColumn(name, F.uuid()).persist()
+        salt = uuid.uuid4().hex
+        hex_ = F.md5(F.concat(F.lit(salt), row.cast(STR)).cast("binary"))
+        part = lambda at, size: F.substring(hex_, at, size)
+        parts = [part(1, 8), part(9, 4), F.concat(F.lit("4"), part(14, 3)), F.concat(F.lit("a"), part(18, 3)), part(21, 12)]
+        return df.withColumn(name, F.concat_ws("-", *parts))
+    if kind == "key":
+        mark = f"_row{next(FRESH)}"
+        df = df.withColumn(mark, row)
+        before, starts = 0, {}
+        counts = df.groupBy(F.shiftright(mark, 33).cast("int").alias("part")).count().collect()
+        for found in sorted(counts, key=lambda r: r["part"]):
+            starts[found["part"]] = before
+            before += found["count"]
+        lengths = [starts.get(k, 0) for k in range(max(starts, default=-1) + 1)] or [0]
+        start = F.element_at(F.lit(lengths).cast("array<long>"), F.shiftright(mark, 33).cast("int") + 1)
+        key = (start + column(mark).bitwiseAND((1 << 33) - 1) + 1).cast(INT)
+        return df.select(key.alias(name), *[column(n) for n in df.columns if n != mark])
     if kind == "hash":
         parts = [F.concat(F.lit(n + "\0"), column(n).cast(STR)) for n in sorted(df.columns)]
         return df.withColumn(name, F.substring(F.sha2(F.concat_ws("\0", *parts), 256), 1, 16))

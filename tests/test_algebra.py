@@ -5,6 +5,7 @@ from decimal import Decimal
 import pytest
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from quillon.functions.values import QueryError
 from quillon.lang.lexer import SyntaxProblem
@@ -234,7 +235,8 @@ def test_split(rows):
     assert rows(f'{tags} /> tags ","') == [(1, "a"), (1, "b"), (2, "d"), (3, ""), (3, "a"), (4, "")]
     assert rows(f'{tags} /> [t at]: tags "," ? id = 3 #! id') == [(1, "a"), (2, ""), (3, "a")]
     assert rows(f'{tags} #! id /> t: tags "," ') == [("",), ("a",), ("b",), ("d",)]
-    for bad in ('E /> salary ","', 'Phone /> emp_id: phone "-"', 'Phone /> phone "(-)"'):
+    assert rows('{t; "1-2--3"} /> [p at]: t "(-)(-)?" $ at') == [("1", 1), ("-", 2), ("", 3), ("2", 4), ("-", 5), ("-", 6), ("3", 7)]
+    for bad in ('E /> salary ","', 'Phone /> emp_id: phone "-"'):
         with pytest.raises(QueryError):
             rows(bad)
 
@@ -329,3 +331,34 @@ def test_fluent_methods(sample):
     assert [tuple(r) for r in found.df.collect()] == [("Engineering", 3), ("Sales", 1)]
     assert e.semi_join(sample.relations["Phone"]).df.count() == 2
     assert e.anti_join(sample.relations["Phone"]).df.count() == 3
+
+
+def test_ranks_do_not_depend_on_exchange_reuse(spark):
+    """Distinct keys over many ranges, with the plan's shared exchanges not shared."""
+    from quillon.operators.relation import Relation
+
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        n = 500_000
+        df = spark.range(n).selectExpr("id", "(id * 7919) % 1000003 AS k")
+        ranked = Relation.bind(df, trusted=True).rank("r", [("k", True)])
+        top, most, distinct = ranked.df.selectExpr("max(r)", "count(*)", "count(distinct r)").first()
+        assert (top, most, distinct) == (n, n, n)
+        first = ranked.df.orderBy("r").limit(3).collect()
+        assert [r.r for r in first] == [1, 2, 3] and first[0].k > first[1].k > first[2].k
+        bucketed = Relation.bind(df.where("id < 1000"), trusted=True).bucket("b", [("k", False)], 4)
+        assert [r["count"] for r in bucketed.df.groupBy("b").count().orderBy("b").collect()] == [250] * 4
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+
+
+@pytest.mark.parametrize(
+    ("spec", "value"),
+    [(".2f", 0.125), (".2f", 2.675), (".0f", 0.5), ("+.1f", -0.25), (",.2f", 1234567.125), ("08.3f", -1.0005), (".1%", 0.0625), ("*^12.2f", 8.005)],
+)
+def test_formats_round_as_python_does(spark, spec, value):
+    from quillon.functions import patterns
+    from quillon.functions.values import FLOAT, Value
+
+    col = patterns.formatted(Value(F.col("x"), FLOAT), spec)
+    assert spark.createDataFrame([(value,)], "x double").select(col.alias("s")).first().s == format(value, spec)

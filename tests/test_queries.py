@@ -28,7 +28,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.CATALOGUE))
+@pytest.mark.parametrize("name", sorted(catalogue.queries()))
 def test_query_matches_sql(spark, duck, name):
     df = __spark_entry__.queries()[name](spark, SF)
     want = duck.sql(__spark_entry__.oracle_sql()[name])

@@ -1,9 +1,12 @@
 """CSV, workspaces, display, scripts, the command line and streams."""
 
+import re
+
 import pytest
 
 from quillon import cli, display
 from quillon.functions.values import QueryError
+from quillon.operators.relation import Relation
 from quillon.session import Session
 from quillon.sources import tables, workspace
 from quillon.streaming import chains
@@ -132,3 +135,42 @@ def test_windowed_summary_of_a_stream(spark, tmp_path):
     query = out.writeStream.format("memory").outputMode("complete").queryName("windowed").trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert sorted((r["n"], r["total"]) for r in spark.table("windowed").collect()) == [(1, 3), (2, 3)]
+
+
+def test_csv_dialect(spark, tmp_path):
+    path = tmp_path / "odd.csv"
+    path.write_text('a, b ,a,c,d\n1,"say ""hi"", x",5,"end\\",0.12345678901234567890123\n2,"x\ny",6,,1.5\nshort\n')
+    df = tables.csv(spark, str(path)).as_set().df
+    assert df.columns == ["a", "b", "c", "d"]
+    found = sorted((r.a, r.b, r.c, r.d) for r in df.collect())
+    assert found == [(5, 'say "hi", x', "end\\", "0.12345678901234567890123"), (6, "x\ny", "", "1.5")]
+
+
+def test_csv_of_many_digits_and_no_rows(spark, tmp_path):
+    path = tmp_path / "wide.csv"
+    path.write_text("n,m\n123456789012345678901234567890,0000000000000000000000000000000000000000007.25\n")
+    row = tables.csv(spark, str(path)).as_set().df.first()
+    assert str(row.n) == "123456789012345678901234567890" and str(row.m) == "7.25"
+    path.write_text("")
+    assert tables.csv(spark, str(path)).df.columns == []
+
+
+def test_made_columns_are_stable(spark, tmp_path):
+    path = tmp_path / "rows.csv"
+    path.write_text("v\n" + "".join(f"{i % 7}\n" for i in range(500)))
+    keyed = tables.csv(spark, str(path), {"id": "key"}).df
+    assert sorted((r.id, r.v) for r in keyed.collect()) == [(i + 1, i % 7) for i in range(500)]
+    marked = tables.csv(spark, str(path), {"u": "uuid"}).df
+    once, again = (sorted(r.u for r in marked.collect()) for _ in range(2))
+    assert once == again and len(set(once)) == 500
+    assert all(re.fullmatch("[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-a[0-9a-f]{3}-[0-9a-f]{12}", u) for u in once)
+
+
+def test_standard_input_has_the_same_dialect(sample):
+    cli.Shell(sample).load_lines(['a,b\n', '1,"x,\n', 'y ""z"""\n'], "odd")
+    assert [(r.a, r.b) for r in sample.relations["odd"].df.collect()] == [(1, 'x,\ny "z"')]
+
+
+def test_tables_say_when_rows_are_left_out(spark):
+    relation = Relation.bind(spark.range(30).toDF("n"), trusted=True)
+    assert "more than 10 rows" in display.table(relation, 10) and "more than" not in display.table(relation, 30)
