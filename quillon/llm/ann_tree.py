@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import cut, pick
 
-#: Vectors of the sample, vectors wanted in a leaf, and leaves at most.
-SAMPLE, LEAF, LEAVES = 20_000, 512, 2_048
+#: Vectors of the sample, vectors wanted in a leaf, leaves at least, and vectors of the sample for
+#: each leaf. So leaves grow with the rows up to SAMPLE / EACH of them; beyond that they get larger.
+SAMPLE, LEAF, FEWEST, EACH = 40_000, 512, 8, 8
 BRANCH, ROUNDS = 8, 12
 #: Recall on the sample at which widening stops; queries that measure it.
 RECALL, PROBES = 0.97, 400
@@ -57,15 +58,14 @@ class Tree:
 
     def visit(self, unit: np.ndarray) -> Iterator[int]:
         """Leaves of one query, best bin first."""
-        near = self.centres @ unit
-        queue = [(-float(near[0]), 0)]
+        queue = [(0.0, 0)]
         while queue:
             _, node = heapq.heappop(queue)
-            while self.children[node]:
-                below = sorted(self.children[node], key=lambda b: -near[b])
-                for b in below[1:]:
-                    heapq.heappush(queue, (-float(near[b]), b))
-                node = below[0]
+            while below := self.children[node]:
+                first, *rest = sorted(zip((-(self.centres[below] @ unit)).tolist(), below, strict=True))
+                for branch in rest:
+                    heapq.heappush(queue, branch)
+                node = first[1]
             yield self.leaf[node]
 
 
@@ -138,12 +138,17 @@ def _calibrate(tree: Tree, unit: np.ndarray, neighbours: int, recall: float, rng
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def _matrix(column, width: int) -> np.ndarray:
+    """The vectors, each times a power of two that brings its largest component to between 1/2 and 1.
+
+    That changes no cosine and rounds nothing, and squares neither overflow nor vanish.
+    """
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), float).reshape(-1, width)
+    x = np.asarray(column.flatten().to_numpy(zero_copy_only=False), float).reshape(-1, width)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0.0))[1][:, None])
 
 
 def _routed(tree: Tree, width: int):
@@ -222,14 +227,13 @@ def nearest(
     Ties go to the smaller vec_id. Rows with a null id, or a vector that is null, zero, or holds
     null or non-finite values, take no part; nor do vectors whose length is not the most frequent
     one. Equal rows are one query; rows that share an id with other vectors are queries of their
-    own. Tables of at most two leaves' rows are searched in full. No usable rows give no rows.
+    own. Every table is searched through the tree. No usable rows give no rows.
     """
     spark = vectors.sparkSession
     rows = pick(vectors, id_col, vector_col).toDF("vec_id", "x")
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("x").cast("array<double>").alias("x"))
     odd = F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    squares = F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)
-    rows = rows.where("vec_id IS NOT NULL AND x IS NOT NULL").where(~odd).where(squares > 0)
+    rows = rows.where("vec_id IS NOT NULL AND x IS NOT NULL").where(~odd).where(F.exists("x", lambda v: v != 0))
     widths = rows.groupBy(F.size("x").alias("w")).count().orderBy(F.desc("count"), "w").limit(1).collect()
     empty = "query_id long, rank int, vec_id long, score double"
     if not widths:
@@ -238,7 +242,7 @@ def nearest(
     rows = rows.where(F.size("x") == width)
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("x").toArrow()
     sample = _matrix(sample["x"], width)
-    leaves = 1 if total <= 2 * LEAF else min(LEAVES, max(2, total // LEAF), max(2, len(sample) // 8))
+    leaves = max(FEWEST, min(total // LEAF, len(sample) // EACH))
     tree = fit(sample, leaves, neighbours, recall)
 
     index = cut(rows.mapInArrow(_routed(tree, width), "vec_id long, x array<double>, leaf long"), "ann-index")

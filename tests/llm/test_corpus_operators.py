@@ -339,6 +339,22 @@ def test_nearest_edges(spark):
     assert ann_tree.nearest(df.where("false")).count() == 0
 
 
+def test_vectors_whose_squares_leave_the_range(spark):
+    rows = [(0, [3e200, 4e200]), (1, [3e-170, 4e-170]), (2, [4.0, 3.0]), (3, [5e-324, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = [(r["rank"], r.vec_id, r.score) for r in ann_tree.nearest(df).collect()]
+    assert [x[:2] for x in sorted(found)] == [(1, 1), (2, 2), (3, 3)]
+    assert [x[2] for x in sorted(found)] == pytest.approx([1.0, 0.96, 0.6], abs=1e-14)
+
+
+def test_small_tables_go_through_the_tree(spark, monkeypatch):
+    trees = []
+    plain = ann_tree.fit
+    monkeypatch.setattr(ann_tree, "fit", lambda *args: trees.append(plain(*args)) or trees[-1])
+    ann_tree.nearest(spark.read.parquet(f"{SF}/embeddings.parquet")).count()
+    assert trees[0].leaves >= 8 and trees[0].visits >= 1
+
+
 # -- toxicity
 
 
