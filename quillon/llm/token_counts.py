@@ -31,6 +31,8 @@ OTHER = regex.compile(r"[^\x00-\u0557\u2010-\u2027\u3041-\u3096\u30a1-\u30fa\u4e
 REMEMBERED = 400_000
 #: Bytes of pre-tokens that go through the pass side by side.
 SIDE_BY_SIDE = 400_000
+#: Bytes from which on a pre-token takes the pass by itself, prefix after prefix.
+LONG = 512
 
 
 class Span(NamedTuple):
@@ -93,6 +95,9 @@ class PrefixCounts:
         keys = self.left[256:] * self.n + self.right[256:]
         order = np.argsort(keys)
         self.pair_keys, self.pair_token = keys[order], order + 256
+        self.merged = dict(zip(keys.tolist(), range(256, self.n), strict=True))
+        self.halves = list(zip(left, right, strict=True))
+        self.seen: dict[int, bool] = {}
         # Trie over the tokens' bytes: (node, byte) -> node; a node's token or -1.
         node_of, token_at, edges = {b"": 0}, [-1], {}
         for word, i in number.items():
@@ -149,13 +154,25 @@ class PrefixCounts:
             start, node, reach = start[inside], node[inside], reach[inside]
         start, end, token = map(np.concatenate, (starts, ends, tokens))
         word_start = np.repeat(offset[:-1], sizes)
+        count = np.zeros(len(data) + 1, np.int64)  # by the end of the prefix
+        alone = np.flatnonzero(sizes > LONG)
+        if len(alone):
+            order = np.lexsort((start, end))  # by word, then the prefix, then the longest last token first
+            start, end, token = start[order], end[order], token[order]
+            short = np.ones(len(start), bool)
+            for k in alone.tolist():
+                lo, hi = np.searchsorted(end, (offset[k], offset[k + 1]), side="right")
+                count[offset[k] + 1 : offset[k + 1] + 1] = self._by_itself(
+                    (start[lo:hi] - offset[k]).tolist(), (end[lo:hi] - offset[k]).tolist(), token[lo:hi].tolist(), int(sizes[k])
+                )
+                short[lo:hi] = False
+            start, end, token = start[short], end[short], token[short]
         # By the length of the prefix, then the longest last token first.
         step = end - word_start[start]
         order = np.lexsort((start, step))
         start, end, token, step = start[order], end[order], token[order], step[order]
-        bounds = np.searchsorted(step, np.arange(1, sizes.max(initial=0) + 2))
+        bounds = np.searchsorted(step, np.arange(1, min(LONG, sizes.max(initial=0)) + 2))
         last = np.full(len(data) + 1, -1)
-        count = np.zeros(len(data) + 1, np.int64)  # by the end of the prefix
         for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
             s, e, t = start[lo:hi], end[lo:hi], token[lo:hi]
             while len(s):
@@ -174,6 +191,36 @@ class PrefixCounts:
                 s, e, t = s[rest], e[rest], t[rest]
         return count[1:], offset
 
+    def _by_itself(self, start: list[int], end: list[int], token: list[int], size: int) -> list[int]:
+        """The counts of one word's prefixes; candidates sorted by end, the longest first."""
+        last, count = [-1] * (size + 1), [0] * (size + 1)
+        if len(self.seen) > REMEMBERED:
+            self.seen.clear()
+        for s, e, t in zip(start, end, token, strict=True):
+            if not count[e] and (s == 0 or self._follows(last[s], t)):
+                last[e], count[e] = t, count[s] + 1
+        return count[1:]
+
+    def _follows(self, a: int, b: int) -> bool:
+        """compatible() of one pair; remembered."""
+        pair = a * self.n + b
+        if (known := self.seen.get(pair)) is not None:
+            return known
+        limit, ok = self.n, True
+        while True:
+            if self.merged.get(a * self.n + b, self.n) < limit:
+                ok = False
+                break
+            token = max(a, b)
+            if token < 256:
+                break
+            if a > b:
+                limit, a = token, self.halves[token][1]
+            else:
+                limit, b = token + 1, self.halves[token][0]
+        self.seen[pair] = ok
+        return ok
+
     @staticmethod
     def _longest(s: np.ndarray, e: np.ndarray) -> np.ndarray:
         order = np.lexsort((s, e))
@@ -244,6 +291,25 @@ class PrefixCounts:
                 out[at] = base
         return out
 
+    def fitting(self, text: str, limit: int, known: dict[str, np.ndarray]) -> int:
+        """The characters of the text's longest prefix of at most limit tokens, from prefix counts.
+
+        Counts at the ends of pre-tokens only grow, so the prefixes behind the first such end above
+        the limit, and behind the white space there, need no look.
+        """
+        stop = len(text)
+        if not self.special.search(text):
+            base, found = 0, self._matches(text)
+            self.remember([[m.group() for m in found]], known)
+            for m in found:
+                base += int(known[m.group()][-1])
+                if base > limit:
+                    rest = SPACES.match(text, m.end())
+                    stop = rest.end() if rest else m.end()
+                    break
+        counts = self.prefixes(text[:stop], known)
+        return int(np.flatnonzero(counts <= limit)[-1])
+
     def _segment(self, text: str, out: np.ndarray, base: int, known: dict[str, np.ndarray]) -> None:
         """Fills out[i] with base and the count of text[:i]; text holds no special string."""
         out[0] = base
@@ -279,15 +345,18 @@ def _counts(path: str, limit: int):
         model, known = load(path)
         for batch in batches:
             texts = texts_of(batch.column(1))
-            totals = pa.array(model.totals(texts, known), pa.int64())
+            found = model.totals(texts, known)
+            fit = [len(t) if n <= limit else model.fitting(t, limit, known) for t, n in zip(texts, found, strict=True)]
+            totals = pa.array(found, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64()),
                     totals,
-                    pa.array([n > limit for n in totals.to_pylist()]),
+                    pa.array([n > limit for n in found]),
+                    pa.array(fit, pa.int64()),
                 ],
-                ["doc_id", "n_bytes", "n_tokens", "over_limit"],
+                ["doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars"],
             )
 
     return run
@@ -307,14 +376,15 @@ def _prefix_rows(path: str):
 def token_counts(
     docs: DataFrame, path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit: one row per input row, in no order.
+    """doc_id, n_bytes, n_tokens, over_limit, fit_chars: one row per input row, in no order.
 
-    over_limit: whether n_tokens is above limit. Null texts count as empty: 0 bytes, 0 tokens.
+    over_limit: whether n_tokens is above limit. fit_chars: the characters of the longest prefix
+    of at most limit tokens. Null texts count as empty: 0 bytes, 0 tokens, 0 characters.
     Null and repeated ids are kept as they are. An empty table gives no rows.
     """
     small_batches(docs.sparkSession)
     docs = pick(docs, id_col, text_col).toDF("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return docs.mapInArrow(_counts(path, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.mapInArrow(_counts(path, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long")
 
 
 def prefix_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -72,6 +72,24 @@ def test_counts_at_every_prefix(text):
     assert model.prefixes(text, known).tolist() == [count(text[:i]) for i in range(len(text) + 1)]
 
 
+@pytest.mark.parametrize("text", ["a" * 3_000, "ab" * 900 + " x", "日本語" * 400, " " * 2_000 + "y", "qzjxkv" * 300])
+def test_long_runs_without_a_break(text):
+    assert token_counts.load(public_tokenizers.path("byte_bpe_50k.json"))[0].totals([text]) == [count(text)]
+
+
+def test_longest_prefix_within_the_limit(spark):
+    rng = random.Random(6)
+    parts = ["the ", "  ", "hello", "\n\n", "'ll", "é", "日本", "<|endoftext|>", " of", "123", "x" * 700]
+    rows = [(k, "".join(rng.choice(parts[: 8 + k % 4]) for _ in range(40))) for k in range(40)] + [(99, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = token_counts.token_counts(df, public_tokenizers.path("byte_bpe_50k.json"), limit=20).collect()
+    for r, (_, text) in zip(sorted(found, key=lambda r: r.doc_id), rows, strict=True):
+        if len(text or "") <= 200 or not r.over_limit:
+            assert r.fit_chars == max(i for i in range(len(text or "") + 1) if count((text or "")[:i]) <= 20)
+        else:
+            assert count(text[: r.fit_chars]) <= 20 < count(text[: r.fit_chars + 1])
+
+
 def test_budget_questions_from_stored_counts(spark):
     df = spark.createDataFrame([(1, "hello there, world"), (2, None)], "doc_id long, text string")
     stored = token_counts.prefix_counts(df, BYTES)
