@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 import numpy as np
@@ -12,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.sources.tables import shared_dir
+
 #: Rows of one Arrow batch sent to a Python worker; with texts this bounds a batch to a few MB.
 BATCH_ROWS = 512
 
@@ -32,17 +31,6 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; where none is named (tests), a temporary one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        made = tempfile.mkdtemp(prefix="quillon-")
-        atexit.register(shutil.rmtree, made, ignore_errors=True)
-        named = "file://" + made
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
-
-
 def cut(df: DataFrame, name: str) -> DataFrame:
     """The rows, written to a table in the shared folder and read again.
 
@@ -61,17 +49,23 @@ def texts_of(column: pa.ChunkedArray | pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
-#: Bits, 4 MB, of a filter by hash. More rows set more bits and let more through, never less.
-FILTER_BITS = 1 << 25
+#: Bits of a filter by hash: a power of two of eight or more for each row wanted, within 128 KB and
+#: 16 MB. Beyond that more rows set more bits and let more through, never less.
+FEWEST_BITS, MOST_BITS = 1 << 20, 1 << 27
+
+
+def filter_size(wanted: int) -> int:
+    """The bits of a filter for so many rows."""
+    return min(MOST_BITS, max(FEWEST_BITS, 1 << (8 * wanted).bit_length()))
 
 
-def filter_bits(slots: DataFrame) -> bytes:
-    """FILTER_BITS bits, those named in the one column (int) set."""
+def filter_bits(slots: DataFrame, size: int) -> bytes:
+    """So many bits, those named in the one column (int) set."""
     name = slots.columns[0]
     words = (
         slots.groupBy(F.shiftright(name, 5).alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, {name} & 31))").alias("bits")).toArrow()
     )
-    out = np.zeros(FILTER_BITS // 32, np.uint32)
+    out = np.zeros(size // 32, np.uint32)
     out[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
     return out.tobytes()
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import cut, pick, small_batches
+from quillon.llm.common import cut, filter_bits, filter_size, passes, pick, small_batches
 
 WHITE = b" \t\n\r\x0b\x0c"
 CHUNK = 1 << 16
@@ -75,12 +75,20 @@ def same(a: bytes, b: bytes) -> bool:
     return len(x) == len(y) and all(x[i : i + CHUNK] == y[i : i + CHUNK] for i in range(0, len(x), CHUNK))
 
 
-def _fingerprints(with_text: bool):
+def _fingerprints(wanted=None, size: int = 0):
+    """Rows with the fingerprint and the text's digest. wanted: a broadcast filter of so many bits;
+    then only rows whose fingerprint passes it, with the text itself."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
             norms = [normal(x) for x in texts]
             marks = [fingerprint(x) for x in norms]
+            if wanted is not None:
+                slots = np.array([m[1] & size - 1 for m in marks], np.int64)
+                keep = np.flatnonzero(passes(wanted.value, slots)).tolist()
+                batch = batch.take(pa.array(keep, pa.int64()))
+                texts, norms, marks = ([x[k] for k in keep] for x in (texts, norms, marks))
             cols = [
                 batch.column(0),
                 pa.array([len(x or "") for x in texts], pa.int64()),
@@ -88,7 +96,7 @@ def _fingerprints(with_text: bool):
                 pa.array([m[1] for m in marks], pa.int64()),
             ]
             names = ["doc_id", "n_chars", "n_bytes", "mark"]
-            if with_text:
+            if wanted is not None:
                 cols.append(pa.array(norms, pa.binary()))
                 names.append("norm")
             else:
@@ -139,7 +147,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     docs = pick(docs, id_col, text_col).toDF("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     marks = cut(
         docs.mapInArrow(
-            _fingerprints(False), "doc_id long, n_chars long, n_bytes long, mark long, text_sha256 string"
+            _fingerprints(), "doc_id long, n_chars long, n_bytes long, mark long, text_sha256 string"
         ),
         "exact-marks",
     )
@@ -150,8 +158,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         .withColumn("salts", F.ceil(F.col("n") / SALT_ROWS).cast("long"))
         .drop("n")
     )
+    keys = cut(keys, "exact-keys")
+    size = filter_size(keys.count())
+    slots = keys.select(F.expr(f"CAST(mark & {size - 1} AS INT)").alias("slot"))
+    wanted = docs.sparkSession.sparkContext.broadcast(filter_bits(slots, size))
+    # Only texts whose fingerprint may repeat are moved.
     rows = docs.mapInArrow(
-        _fingerprints(True), "doc_id long, n_chars long, n_bytes long, mark long, norm binary"
+        _fingerprints(wanted, size), "doc_id long, n_chars long, n_bytes long, mark long, norm binary"
     ).join(keys, ["mark", "n_bytes"])
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")))
     order = ["mark", "n_bytes", "salt"]

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import FILTER_BITS, cut, filter_bits, passes, pick, small_batches, texts_of
+from quillon.llm.common import cut, filter_bits, filter_size, passes, pick, small_batches, texts_of
 from quillon.llm.graph import components
 
 WORDS, PERCENT = 5, 75
@@ -478,8 +478,9 @@ def _sets_of(wanted: DataFrame, docs: DataFrame, classes: DataFrame, words: int)
     """cls, n, found of the wanted classes, made again from one text each. The ids go to the texts
     as filter bits, so no text is moved; what the filter lets through besides goes in a join."""
     wanted = cut(classes.join(wanted, "cls", "left_semi").select("cls", "doc_id"), "jaccard-wanted")
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).cast("int").alias("slot")
-    bits = docs.sparkSession.sparkContext.broadcast(filter_bits(wanted.select(slot)))
+    size = filter_size(wanted.count())
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(size)).cast("int").alias("slot")
+    bits = docs.sparkSession.sparkContext.broadcast(filter_bits(wanted.select(slot), size))
     made = docs.select("text", slot).mapInArrow(_sets(bits, words), "cls long, n long, found array<long>")
     return cut(made.join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "jaccard-sets")
 

@@ -22,11 +22,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import FILTER_BITS, cut, filter_bits, pick, small_batches, texts_of
+from quillon.llm.common import cut, filter_bits, pick, small_batches, texts_of
 
 #: Lines of the rolling window; one in MEAN windows ends a chunk; lines of a chunk at least; words
 #: that make a line a chunk by itself.
 WINDOW, MEAN, LEAST, LONG = 2, 2, 2, 50
+#: Bits, 4 MB, of the filter of hashes that repeat. More of them let more through, never less.
+REPEAT_BITS = 1 << 25
 FACTOR, MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 #: Characters whose repeats a task settles by itself at a time; bounds its memory.
 SETTLED = 16_000_000
@@ -124,7 +126,7 @@ def _counted(runs: bool):
 def _repeat_bits(docs: DataFrame, runs: bool) -> bytes:
     """Filter bits of the hashes that occur more than once."""
     counts = docs.select("text").mapInArrow(_counted(runs), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
-    return filter_bits(counts.where("n > 1").selectExpr(f"CAST(pmod(hash, {FILTER_BITS}) AS int) AS slot"))
+    return filter_bits(counts.where("n > 1").selectExpr(f"CAST(pmod(hash, {REPEAT_BITS}) AS int) AS slot"), REPEAT_BITS)
 
 
 def _settled(repeats_of, runs: bool):
@@ -142,7 +144,7 @@ def _settled(repeats_of, runs: bool):
             ids, marks = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             for doc_id, text, mark in zip(ids, texts_of(batch.column(1)), marks, strict=True):
                 for no, part in _parts(text, runs):
-                    slot = _hash(part) % FILTER_BITS
+                    slot = _hash(part) % REPEAT_BITS
                     if not bits[slot >> 5] >> (slot & 31) & 1:
                         continue
                     own = (doc_id is None, doc_id or 0, mark, no)
