@@ -291,24 +291,45 @@ class PrefixCounts:
                 out[at] = base
         return out
 
-    def fitting(self, text: str, limit: int, known: dict[str, np.ndarray]) -> int:
+    def fitting(self, text: str, words: list[str], limit: int, known: dict[str, np.ndarray]) -> int:
         """The characters of the text's longest prefix of at most limit tokens, from prefix counts.
 
-        Counts at the ends of pre-tokens only grow, so the prefixes behind the first such end above
-        the limit, and behind the white space there, need no look.
+        words: its pre-tokens; it has no special string. Counts at the ends of pre-tokens only grow,
+        so only the prefixes that end in the first pre-token above the limit, and in the white space
+        around it, need a look.
         """
-        stop = len(text)
-        if not self.special.search(text):
-            base, found = 0, self._matches(text)
-            self.remember([[m.group() for m in found]], known)
-            for m in found:
-                base += int(known[m.group()][-1])
-                if base > limit:
-                    rest = SPACES.match(text, m.end())
-                    stop = rest.end() if rest else m.end()
-                    break
-        counts = self.prefixes(text[:stop], known)
-        return int(np.flatnonzero(counts <= limit)[-1])
+        ends, bases = [0], [0]
+        for word in words:
+            ends.append(ends[-1] + len(word))
+            bases.append(bases[-1] + int(known[word][-1]))
+            if bases[-1] > limit:
+                break
+        else:
+            return len(text)
+        rest = SPACES.match(text, ends[-1])
+        stop = rest.end() if rest else ends[-1]
+        k = len(ends) - 2
+        while k and SPACES.match(text, ends[k] - 1, ends[k]):
+            k -= 1
+        counts = np.zeros(stop - ends[k] + 1, np.int64)
+        self._segment(text[ends[k] : stop], counts, bases[k], known)
+        return ends[k] + int(np.flatnonzero(counts <= limit)[-1])
+
+    def counted(self, texts: list[str], limit: int, known: dict[str, np.ndarray]) -> tuple[list[int], list[int]]:
+        """The token count of each text, and the characters of its longest prefix within the limit."""
+        split = [self._split(t) for t in texts]
+        self.remember([words for _, parts in split for words in parts], known)
+        mine = {w: known[w] for _, parts in split for words in parts for w in words}
+        last = {w: int(x[-1]) for w, x in mine.items()}
+        totals = [extra + sum(sum(map(last.__getitem__, words)) for words in parts) for extra, parts in split]
+        fit = [len(t) for t in texts]
+        for at, (text, total, (extra, parts)) in enumerate(zip(texts, totals, split, strict=True)):
+            if total > limit:
+                if extra:
+                    fit[at] = int(np.flatnonzero(self.prefixes(text, known) <= limit)[-1])
+                else:
+                    fit[at] = self.fitting(text, parts[0], limit, mine)
+        return totals, fit
 
     def _segment(self, text: str, out: np.ndarray, base: int, known: dict[str, np.ndarray]) -> None:
         """Fills out[i] with base and the count of text[:i]; text holds no special string."""
@@ -345,8 +366,7 @@ def _counts(path: str, limit: int):
         model, known = load(path)
         for batch in batches:
             texts = texts_of(batch.column(1))
-            found = model.totals(texts, known)
-            fit = [len(t) if n <= limit else model.fitting(t, limit, known) for t, n in zip(texts, found, strict=True)]
+            found, fit = model.counted(texts, limit, known)
             totals = pa.array(found, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
