@@ -323,16 +323,16 @@ def _memory(name: str) -> dict[str, float]:
     return {}
 
 
-def _scores(model: Model):
+def _scores(model: Model, text_at: int = 1):
+    """Adds the score of the text in this column to rows of any columns, named c0, c1, ..."""
     name = hashlib.sha256(model.codes.tobytes() + model.weights.tobytes()).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _memory(name)
         for batch in batches:
-            score = model.score(texts_of(batch.column(1)), known)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(score)], ["doc_id", "held_out", "score"]
-            )
+            score = model.score(texts_of(batch.column(text_at)), known)
+            names = [f"c{i}" for i in range(batch.num_columns)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*names, "score"])
 
     return run
 
@@ -356,6 +356,35 @@ def toxicity(
     docs = pick(docs, id_col, text_col).toDF("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     labels = pick(labels, "doc_id", "toxic")
     model = model or train(docs, labels, per_class)
-    rows = docs.withColumn("held_out", held_out(F.col("doc_id")))
-    scored = rows.mapInArrow(_scores(model), "doc_id long, held_out boolean, score double")
+    scored = _scored(docs, 1, model).select(
+        F.col("c0").alias("doc_id"), held_out(F.col("c0")).alias("held_out"), "score"
+    )
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def _scored(docs: DataFrame, text_at: int, model: Model) -> DataFrame:
+    """The columns as c0, c1, ... and the score of each row's text."""
+    wide = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    schema = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema)) + ", score double"
+    return wide.mapInArrow(_scores(model, text_at), schema)
+
+
+def without_toxic(
+    docs: DataFrame,
+    labels: DataFrame,
+    threshold: float = 0.3,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    per_class: int = 2000,
+) -> DataFrame:
+    """The rows of docs whose text scores below the threshold, all columns as they were.
+
+    Each row is judged by its own text, so null ids and rows that repeat an id need no care. Null
+    and empty texts stay unless the score of a text without words is as high. An empty table gives
+    no rows.
+    """
+    small_batches(docs.sparkSession)
+    plain = pick(docs, id_col, text_col).toDF("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    model = train(plain, pick(labels, "doc_id", "toxic"), per_class)
+    kept = _scored(docs, docs.columns.index(text_col), model).where(F.col("score") < threshold)
+    return kept.select(*[F.col(f"c{i}").alias(name) for i, name in enumerate(docs.columns)])

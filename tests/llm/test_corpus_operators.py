@@ -6,11 +6,13 @@ from collections import Counter, defaultdict
 from hashlib import sha256
 
 import numpy as np
+import public_tokenizers
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillon.llm import ann_tree, jaccard_join, mixing, ppm, secrets, toxicity
+from quillon.llm import ann_tree, jaccard_join, line_dedup, mixing, ppm, secrets, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -541,6 +543,11 @@ def test_pipeline_stages(spark):
             scored = toxicity.toxicity(docs, spark.read.parquet(f"{SF}/labels.parquet"))
             kept = {r.doc_id for r in scored.where("predicted = 0").collect()}
             assert {r.doc_id for r in after.collect()} == kept
+        if at == 1:
+            left = {r.doc_id: r.text for r in line_dedup.line_dedup(before, runs=True).collect()}
+            had = {r.doc_id: r.text or "" for r in before.collect()}
+            kept = {d: t for d, t in left.items() if (t or "").split() or not had[d].split()}
+            assert {r.doc_id: r.text for r in after.collect()} == kept
         if at == 2:
             want, _ = brute_components([(r.doc_id, r.text) for r in before.collect()])
             assert {r.doc_id for r in after.collect()} == {c for _, c in want.values()}
@@ -548,6 +555,32 @@ def test_pipeline_stages(spark):
             copies = {r.doc_id: r.copies for r in mixing.mix(before).collect() if r.copies}
             assert Counter(r.doc_id for r in after.collect()) == copies
         if at == 4:
-            assert after.count() == before.count()
+            library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+            ids = [library.encode(r.text or "") for r in before.collect()]
+            want = Counter((r.doc_id, tuple(x), library.decode(x)) for r, x in zip(before.collect(), ids, strict=True))
+            assert Counter((r.doc_id, tuple(r.ids), r.decoded) for r in after.collect()) == want
         before = after
     assert corpus_pipeline.run(spark, SF).count() == before.count()
+
+
+def test_pipeline_stages_on_edge_rows(spark, edges, nothing):
+    for at, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        rows = stage(spark, edges, SF)
+        assert stage(spark, nothing, SF).count() == 0
+        if at < 4:
+            assert rows.columns == edges.columns
+        ids = Counter(r[0] for r in rows.collect())
+        if at == 2:
+            assert ids == Counter([1, 2, 3, 4, 7, 8, 9, 10, None])
+        elif at in (0, 4):
+            assert ids[5] == 2 and ids[None] == 1 and ids[1] == 1 and sum(ids.values()) == 12
+
+
+def test_toxic_rows_without_an_id_go(spark):
+    """Rows are judged by their texts, not by their ids."""
+    model = toxicity.fit(["you stupid moron"] * 5 + ["a nice day"] * 5, [1] * 5 + [0] * 5)
+    rows = [(None, "you stupid moron"), (None, "a nice day"), (4, "a nice day"), (4, "stupid moron"), (5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    scored = {(r.c0, r.c1): r.score for r in toxicity._scored(df, 1, model).collect()}
+    assert scored[None, "you stupid moron"] > scored[None, "a nice day"] and scored[4, "stupid moron"] > scored[4, "a nice day"]
+    assert len(scored) == 5
