@@ -14,37 +14,49 @@ from quillon.llm.common import cut, read
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the toxicity operator rejects."""
-    scored = toxicity.toxicity(docs, read(spark, sf_dir, "labels"))
-    return _kept(docs, scored.where("predicted = 1").select("doc_id"))
+    """Without the documents that the toxicity operator rejects, each row by its own text. Null and
+    empty texts, null and repeated ids, and an empty table need no care."""
+    return toxicity.without_toxic(docs, read(spark, sf_dir, "labels"))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """With repeated runs of lines removed; documents of which nothing is left go."""
+    """With repeated runs of lines removed; documents of which nothing is left go. Blank and null
+    texts stay; rows that repeat both id and text are one document; an empty table stays empty."""
     return line_dedup.rewrite(docs, runs=True)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one whose id names the group."""
-    joined = jaccard_join.jaccard_join(docs)
-    return _kept(docs, joined.where("component_id != doc_id").select("doc_id"))
+    """One document of each group of near duplicates: the one whose id names the group.
+
+    Texts without words are near nothing and stay, as do rows with a null id. Rows that share an
+    id are one document: they go together if any of them is in a group with a smaller id.
+    """
+    dropped = jaccard_join.jaccard_join(docs).where("component_id != doc_id").select("doc_id").distinct()
+    wide, own = _numbered(docs)
+    return _named(wide.join(dropped, F.col(own) == F.col("doc_id"), "left_anti"), docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it; rows that share an id as often as the one
-    of them that it takes most."""
+    """Each document as many times as the mix takes it; rows that share an id, null among them, as
+    often as the one of them that it takes most."""
     copies = mixing.mix(docs).groupBy(F.col("doc_id").alias("of")).agg(F.max("copies").alias("copies"))
-    taken = docs.join(copies.where("copies > 0"), F.col("doc_id").eqNullSafe(F.col("of")))
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*docs.columns)
+    wide, own = _numbered(docs)
+    taken = wide.join(copies.where("copies > 0"), F.col(own).eqNullSafe(F.col("of")))
+    return _named(taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))), docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids, decoded of each document."""
+    """doc_id, n_tokens, ids, decoded of each row; null texts are empty, null ids stay null."""
     return sentencepiece_bpe.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
-def _kept(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The columns as c0, c1, ..., as names may clash, and which of them is doc_id."""
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]), f"c{docs.columns.index('doc_id')}"
+
+
+def _named(wide: DataFrame, docs: DataFrame) -> DataFrame:
+    return wide.select(*[F.col(f"c{i}").alias(name) for i, name in enumerate(docs.columns)])
 
 
 STAGES = [
