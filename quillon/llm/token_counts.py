@@ -9,8 +9,10 @@ any prefix anew. Distinct pre-tokens of a batch go through that pass side by sid
 from __future__ import annotations
 
 import json
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 from typing import NamedTuple
 
 import numpy as np
@@ -245,7 +247,7 @@ class PrefixCounts:
         """Puts the byte-prefix counts of all the pre-tokens into known."""
         if len(known) > REMEMBERED:
             known.clear()
-        fresh = sorted({w for words in pieces for w in words if w not in known})
+        fresh = sorted(set().union(*pieces).difference(known))
         known.update(zip(fresh, self.of_words([w.encode("utf-8", "surrogatepass") for w in fresh]), strict=True))
 
     def totals(self, texts: list[str], known: dict[str, np.ndarray] | None = None) -> list[int]:
@@ -291,44 +293,43 @@ class PrefixCounts:
                 out[at] = base
         return out
 
-    def fitting(self, text: str, words: list[str], limit: int, known: dict[str, np.ndarray]) -> int:
+    def fitting(self, text: str, words: list[str], totals: list[int], limit: int, known: dict[str, np.ndarray]) -> int:
         """The characters of the text's longest prefix of at most limit tokens, from prefix counts.
 
-        words: its pre-tokens; it has no special string. Counts at the ends of pre-tokens only grow,
-        so only the prefixes that end in the first pre-token above the limit, and in the white space
-        around it, need a look.
+        words: its pre-tokens, the first ones at least; totals: the counts before each of them and at
+        the end, which is above the limit. The text has no special string. Counts at the ends of
+        pre-tokens only grow, so only the prefixes that end in the first pre-token above the limit,
+        and in the white space around it, need a look.
         """
-        ends, bases = [0], [0]
-        for word in words:
-            ends.append(ends[-1] + len(word))
-            bases.append(bases[-1] + int(known[word][-1]))
-            if bases[-1] > limit:
-                break
-        else:
-            return len(text)
-        rest = SPACES.match(text, ends[-1])
-        stop = rest.end() if rest else ends[-1]
-        k = len(ends) - 2
+        over = bisect_right(totals, limit)
+        ends = list(accumulate(map(len, words[:over]), initial=0))
+        rest = SPACES.match(text, ends[over])
+        stop = rest.end() if rest else ends[over]
+        k = over - 1
         while k and SPACES.match(text, ends[k] - 1, ends[k]):
             k -= 1
         counts = np.zeros(stop - ends[k] + 1, np.int64)
-        self._segment(text[ends[k] : stop], counts, bases[k], known)
+        self._segment(text[ends[k] : stop], counts, totals[k], known)
         return ends[k] + int(np.flatnonzero(counts <= limit)[-1])
 
     def counted(self, texts: list[str], limit: int, known: dict[str, np.ndarray]) -> tuple[list[int], list[int]]:
         """The token count of each text, and the characters of its longest prefix within the limit."""
         split = [self._split(t) for t in texts]
-        self.remember([words for _, parts in split for words in parts], known)
-        mine = {w: known[w] for _, parts in split for words in parts for w in words}
+        pieces = [words for _, parts in split for words in parts]
+        self.remember(pieces, known)
+        mine = {w: known[w] for w in set().union(*pieces)}
         last = {w: int(x[-1]) for w, x in mine.items()}
-        totals = [extra + sum(sum(map(last.__getitem__, words)) for words in parts) for extra, parts in split]
-        fit = [len(t) for t in texts]
-        for at, (text, total, (extra, parts)) in enumerate(zip(texts, totals, split, strict=True)):
-            if total > limit:
-                if extra:
-                    fit[at] = int(np.flatnonzero(self.prefixes(text, known) <= limit)[-1])
-                else:
-                    fit[at] = self.fitting(text, parts[0], limit, mine)
+        totals, fit = [], []
+        for text, (extra, parts) in zip(texts, split, strict=True):
+            total = extra + sum(sum(map(last.__getitem__, words)) for words in parts)
+            totals.append(total)
+            if total <= limit:
+                fit.append(len(text))
+            elif extra:
+                fit.append(int(np.flatnonzero(self.prefixes(text, known) <= limit)[-1]))
+            else:
+                head = parts[0][: limit + 1]  # has more tokens than limit, as each pre-token has one or more
+                fit.append(self.fitting(text, head, list(accumulate(map(last.__getitem__, head), initial=0)), limit, mine))
         return totals, fit
 
     def _segment(self, text: str, out: np.ndarray, base: int, known: dict[str, np.ndarray]) -> None:
