@@ -28,13 +28,16 @@ WIDE, WIDE_REPOS = 3, 10
 SPAN = "struct<start:bigint,kind:int,end:bigint,value:string>"
 
 
-def _sliced(items: Column) -> Column:
-    """The array in slices of about the root of its size, so that work that copies or scans a
-    slice for each element stays far below the square."""
-    width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(items))).cast("int"))
-    count = F.ceil(F.size(items) / width).cast("int")
-    # One more, empty, where the array is empty.
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), count)), lambda k: F.slice(items, (k - 1) * width + 1, width))
+def _width(items: Column) -> Column:
+    """About the cube root of the array's size."""
+    return F.greatest(F.lit(1), F.ceil(F.cbrt(F.size(items))).cast("int"))
+
+
+def _sliced(items: Column, width: Column) -> Column:
+    """The array in slices of that width; one, empty, of an empty array. Both are worked out for
+    each slice, so they should be columns or variables."""
+    last = F.greatest(F.lit(1), F.ceil(F.size(items) / width).cast("int"))
+    return F.transform(F.sequence(F.lit(1), last), lambda k: F.slice(items, (k - 1) * width + 1, width))
 
 
 def _let(value: Column, then) -> Column:
@@ -50,46 +53,66 @@ def found(text: Column, pattern: str, kind: int) -> Column:
     none = F.expr(f"CAST(array() AS array<{SPAN}>)")
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    pairs = F.zip_with(gaps, hits, lambda gap, hit: F.struct(F.length(gap).cast("long").alias("gap"), hit.alias("hit")))
+    pairs = F.zip_with(
+        gaps, hits, lambda gap, hit: F.struct(F.length(gap).cast("long").alias("gap"), F.length(hit).alias("size"), hit.alias("hit"))
+    )
     pairs = F.filter(pairs, lambda p: p["hit"].isNotNull())
+    zero = F.lit(0).cast("long")
 
     def step(acc: Column, pair: Column) -> Column:
         begin = acc["at"] + pair["gap"]
-        end = begin + F.length(pair["hit"])
+        end = begin + pair["size"]
         value = F.regexp_extract(pair["hit"], ASSIGN, 2) if kind == 0 else pair["hit"]
         span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), value.alias("value"))
         return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
 
-    def whole(acc: Column, part: Column) -> Column:
-        start = F.struct(acc["at"].alias("at"), none.alias("spans"))
-        return _let(
-            F.aggregate(part, start, step),
-            lambda own: F.struct(own["at"].alias("at"), F.concat(acc["spans"], own["spans"]).alias("spans")),
+    def placed(parts: Column) -> Column:
+        """Each slice's spans from where the slice starts."""
+        start = F.struct(zero.alias("at"), F.expr("CAST(array() AS array<bigint>)").alias("starts"))
+        taken = F.transform(parts, lambda part: F.aggregate(part, zero, lambda n, p: n + p["gap"] + p["size"]))
+        starts = F.aggregate(
+            taken,
+            start,
+            lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts")),
+            lambda acc: acc["starts"],
+        )
+        return F.flatten(
+            F.zip_with(
+                parts,
+                starts,
+                lambda part, at: F.aggregate(part, F.struct(at.alias("at"), none.alias("spans")), step, lambda acc: acc["spans"]),
+            )
         )
 
-    start = F.struct(F.lit(0).cast("long").alias("at"), none.alias("spans"))
-    spans = _let(pairs, lambda p: F.aggregate(_sliced(p), start, whole, lambda acc: acc["spans"]))
+    spans = _let(pairs, lambda p: _let(_sliced(p, _width(p)), placed))
     return F.when(F.size(hits) == 0, none).otherwise(spans)
 
 
-def apart(spans: Column, others: Column) -> Column:
-    """The spans that look random and overlap none of the others."""
-    part = F.transform(
-        F.filter(_sliced(others), lambda p: F.size(p) > 0),
+def _boxes(items: Column, width: Column) -> Column:
+    """Slices of spans, or of boxes, each with where its first starts and its last ends."""
+    return F.transform(
+        F.filter(_sliced(items, width), lambda p: F.size(p) > 0),
         lambda p: F.struct(
-            F.array_min(F.transform(p, lambda o: o["start"])).alias("low"),
-            F.array_max(F.transform(p, lambda o: o["end"])).alias("high"),
+            F.array_min(F.transform(p, lambda o: o["start"])).alias("start"),
+            F.array_max(F.transform(p, lambda o: o["end"])).alias("end"),
             p.alias("inside"),
         ),
     )
 
-    def met(s: Column, parts: Column) -> Column:
-        over = lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"])
-        return F.exists(parts, lambda p: (p["low"] < s["end"]) & (s["start"] < p["high"]) & F.exists(p["inside"], over))
+
+def apart(spans: Column, others: Column) -> Column:
+    """The spans that look random and overlap none of the others."""
+    def over(s: Column, o: Column) -> Column:
+        return (o["start"] < s["end"]) & (s["start"] < o["end"])
+
+    def met(s: Column, boxes: Column) -> Column:
+        small = lambda box: over(s, box) & F.exists(box["inside"], lambda o: over(s, o))
+        return F.exists(boxes, lambda box: over(s, box) & F.exists(box["inside"], small))
 
     random = F.filter(spans, lambda s: _looks_random(s["value"]))
+    boxes = _let(_width(others), lambda width: _let(_boxes(others, width), lambda small: _boxes(small, width)))
     return F.when(F.size(spans) == 0, spans).otherwise(
-        _let(part, lambda parts: F.filter(random, lambda s: ~met(s, parts)))
+        _let(boxes, lambda boxes: F.filter(random, lambda s: ~met(s, boxes)))
     )
 
 

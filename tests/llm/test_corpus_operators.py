@@ -282,6 +282,22 @@ def test_many_secrets_in_one_text(spark):
     assert row.base_sha256 == sha256(digest.encode()).hexdigest() and row.spans == digest
 
 
+def test_bare_runs_among_many_secrets(spark):
+    """Runs apart from every named span are added, those that overlap one are not."""
+    lines = []
+    for k in range(3_000):
+        run = f"Xy{k:08d}qRsTuVwZa{k:04x}"
+        lines.append((f"é {run} x", f"secret={run}", f"{k:032x}")[k % 3])
+    text = "\n".join(lines)
+    base = [x[2] for x in brute_base(text)]
+    taken = [tuple(int(n) for n in x.split(":")[1:]) for x in base]
+    bare = [m.span() for m in re.finditer(secrets.BARE, text) if re.search("[A-Z]", m.group())]
+    owned = [f"owned:{a}:{b}" for i, (a, b) in enumerate(bare) if i % 2 == 0]
+    assert len(owned) == 1_000 and not any(a < d and c < b for a, b in bare[::2] for c, d in taken)
+    row = secrets.scan(spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")).first()
+    assert row.spans.split(",") == sorted(base + owned, key=lambda x: int(x.split(":")[1]))
+
+
 # -- nearest neighbours
 
 
