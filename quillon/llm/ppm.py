@@ -35,7 +35,7 @@ ORDER = 5
 END, START, BITS = 256, 257, 9
 ALPHABET = 257
 #: Characters of one block of texts, and bytes of a text gone through at a time.
-BLOCK_CHARS, PART = 32_000_000, 1_000_000
+BLOCK_CHARS, PART = 16_000_000, 1_000_000
 #: Entries after which a partial count is sent on, and words a worker remembers.
 HELD, REMEMBERED = 400_000, 200_000
 #: Rows of the two tables up to which they are broadcast: 64 and 96 MB.
@@ -186,6 +186,36 @@ def _token_rows(block: int, count: Counter[bytes]) -> Iterator[pa.RecordBatch]:
     return _sliced(cols, ["block", "token", "n"])
 
 
+def _asked(order: int):
+    """Rows (block, gram, token), one of the two null: what each block's texts hold, from texts
+    sorted by block."""
+
+    def rows(block: int, held: list[np.ndarray], words: set[bytes]) -> Iterator[pa.RecordBatch]:
+        key = np.unique(np.concatenate(held))
+        n = len(key) + len(words)
+        cols = [
+            np.full(n, block),
+            pa.concat_arrays([pa.array(key), pa.nulls(len(words), pa.int64())]),
+            pa.concat_arrays([pa.nulls(len(key), pa.binary()), pa.array(list(words), pa.binary())]),
+        ]
+        return _sliced(cols, ["block", "gram", "token"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, parts in _by_block(batches):
+            held, words = [], set()
+            for texts, _ in parts:
+                split = [tokens(t) for t in texts]
+                words.update(*split)
+                held.append(np.unique(np.concatenate([grams(w, order) for w in split])))
+                if sum(map(len, held)) > 10 * HELD or len(words) > HELD:
+                    yield from rows(block, held, words)
+                    held, words = [], set()
+            if held:
+                yield from rows(block, held, words)
+
+    return run
+
+
 def _by_block(batches: Iterator[pa.RecordBatch]):
     """(block, parts) from rows (block, text, training) sorted by block; a part is texts and their
     training marks, PART characters or one text long."""
@@ -265,26 +295,18 @@ class Lookup:
 def _scored(texts: list[str], order: int, count_of, value_of: Lookup) -> dict[str, list]:
     """n_tokens, n_known, base (before the common norm) and score of each text. count_of: the
     training counts of a list of tokens."""
-    split = [tokens(t) for t in texts]
-    sizes = np.array([len(w) for w in split])
-    seen = count_of(split)
-    ends = np.cumsum(sizes)
-    head = ends - sizes
-    out = {
-        "n_tokens": sizes.tolist(),
-        "n_known": np.add.reduceat(seen > 0, head, dtype=np.int64).tolist(),
-        "base": np.add.reduceat(np.log10(seen + 0.5), head).tolist(),
-        "score": [],
-    }
-    part, held = [], 0
-    for at, words in enumerate(split):
-        part.append(grams(words, order))
-        held += len(part[-1])
-        if held >= PART or at == len(split) - 1:
-            values = value_of(np.concatenate(part))
-            starts = np.cumsum([0, *map(len, part[:-1])])
-            out["score"] += np.add.reduceat(values, starts).tolist()
-            part, held = [], 0
+    out = {"n_tokens": [], "n_known": [], "base": [], "score": []}
+    for part, _ in _parts((None, text, None) for text in texts):
+        split = [tokens(t) for t in part]
+        sizes = np.array([len(w) for w in split])
+        seen = count_of(split)
+        head = np.cumsum(sizes) - sizes
+        out["n_tokens"] += sizes.tolist()
+        out["n_known"] += np.add.reduceat(seen > 0, head, dtype=np.int64).tolist()
+        out["base"] += np.add.reduceat(np.log10(seen + 0.5), head).tolist()
+        asked = [grams(words, order) for words in split]
+        starts = np.cumsum([0, *map(len, asked[:-1])])
+        out["score"] += np.add.reduceat(value_of(np.concatenate(asked)), starts).tolist()
     return out
 
 
@@ -412,6 +434,7 @@ def lm_scores(
 
 
 GRAMS, TOKENS = "block long, gram long, n long", "block long, token binary, n long"
+ASKED = "block long, gram long, token binary"
 
 
 def _values(total: DataFrame, order: int) -> DataFrame:
@@ -442,11 +465,11 @@ def _by_blocks(rows: DataFrame, values: DataFrame, vocabulary: DataFrame, order:
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(chars / BLOCK_CHARS))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).repartition("block")
-    sorted_ = dealt.select("block", "text", (~F.col("held_out")).alias("training")).sortWithinPartitions("block")
-    asked = cut(sorted_.mapInArrow(_gram_counts(order), GRAMS).select("block", "gram").distinct(), "lm-asked")
-    asked_grams = asked.join(values, "gram").select("block", "gram", F.lit(None).cast("binary").alias("token"), "value")
-    words = cut(sorted_.mapInArrow(_token_counts, TOKENS).select("block", "token").distinct(), "lm-asked")
-    asked_words = words.join(vocabulary, "token").select(
+    sorted_ = dealt.select("block", "text", F.lit(False).alias("training")).sortWithinPartitions("block")
+    asked = cut(sorted_.mapInArrow(_asked(order), ASKED).distinct(), "lm-asked")
+    asked_grams = asked.where("token IS NULL").select("block", "gram").join(values, "gram")
+    asked_grams = asked_grams.select("block", "gram", F.lit(None).cast("binary").alias("token"), "value")
+    asked_words = asked.where("gram IS NULL").select("block", "token").join(vocabulary, "token").select(
         "block", F.lit(None).cast("long").alias("gram"), "token", F.col("c").cast("double").alias("value")
     )
     return (
