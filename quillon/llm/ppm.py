@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.common import cut, pick, small_batches, texts_of
@@ -186,19 +186,20 @@ def _token_rows(block: int, count: Counter[bytes]) -> Iterator[pa.RecordBatch]:
     return _sliced(cols, ["block", "token", "n"])
 
 
+def _hash(word: bytes) -> int:
+    """Spark's xxhash64 of the word, unsigned."""
+    return xxhash.xxh64_intdigest(word, 42)
+
+
 def _asked(order: int):
-    """Rows (block, gram, token), one of the two null: what each block's texts hold, from texts
-    sorted by block."""
+    """Rows (block, word, key): the grams, and the hashes of the words, that each block's texts
+    hold, from texts sorted by block."""
 
     def rows(block: int, held: list[np.ndarray], words: set[bytes]) -> Iterator[pa.RecordBatch]:
-        key = np.unique(np.concatenate(held))
-        n = len(key) + len(words)
-        cols = [
-            np.full(n, block),
-            pa.concat_arrays([pa.array(key), pa.nulls(len(words), pa.int64())]),
-            pa.concat_arrays([pa.nulls(len(key), pa.binary()), pa.array(list(words), pa.binary())]),
-        ]
-        return _sliced(cols, ["block", "gram", "token"])
+        gram = np.unique(np.concatenate(held))
+        hashes = np.array([_hash(w) for w in words], np.uint64).view(np.int64)
+        word = np.arange(len(gram) + len(hashes)) >= len(gram)
+        return _sliced([np.full(len(word), block), word, np.r_[gram, hashes]], ["block", "word", "key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, parts in _by_block(batches):
@@ -316,6 +317,23 @@ def _tables(name: str) -> list:
     return []
 
 
+def _counts(by_hash: Lookup, known: dict[bytes, float], shared: dict[bytes, float]):
+    """The training counts of texts' tokens: by hash, but for those whose hash is shared by unlike
+    tokens. known: what is remembered of them."""
+
+    def count_of(split: list[list[bytes]]) -> np.ndarray:
+        if len(known) > REMEMBERED + len(shared):
+            known.clear()
+        known.update(shared)
+        fresh = list({w for words in split for w in words if w not in known})
+        if fresh:
+            hashes = np.array([_hash(w) for w in fresh], np.uint64).view(np.int64)
+            known.update(zip(fresh, by_hash(hashes).tolist(), strict=True))
+        return np.array([known[w] for words in split for w in words], float)
+
+    return count_of
+
+
 def _score_rows(order: int, gram_table, token_table):
     """Scores of texts with both tables at hand. Tokens are looked up by hash, which the caller
     has checked to be unlike for unlike tokens."""
@@ -332,15 +350,7 @@ def _score_rows(order: int, gram_table, token_table):
                 sent.__dict__.pop("_value", None)
         value_of, by_hash, known = held
 
-        def count_of(split: list[list[bytes]]) -> np.ndarray:
-            if len(known) > REMEMBERED:
-                known.clear()
-            fresh = list({w for words in split for w in words if w not in known})
-            if fresh:
-                hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in fresh], np.uint64).view(np.int64)
-                known.update(zip(fresh, by_hash(hashes).tolist(), strict=True))
-            return np.array([known[w] for words in split for w in words], float)
-
+        count_of = _counts(by_hash, known, {})
         for batch in batches:
             if len(batch):
                 found = _scored(texts_of(batch.column(1)), order, count_of, value_of)
@@ -354,14 +364,13 @@ def _score_block(order: int):
     """Scores of a block's documents from the values of its grams and the counts of its tokens."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        counted = right.filter(pa.compute.is_valid(right["token"]))
-        count = dict(zip(counted["token"].to_pylist(), counted["value"].to_pylist(), strict=True))
-        valued = right.filter(pa.compute.is_null(right["token"]))
-        value_of = Lookup(valued["gram"].to_numpy(), valued["value"].to_numpy())
-
-        def count_of(split: list[list[bytes]]) -> np.ndarray:
-            return np.array([count[w] for words in split for w in words], float)
-
+        key, value = right["key"].to_numpy(), right["value"].to_numpy()
+        word, named = right["word"].to_numpy(), pa.compute.is_valid(right["token"])
+        gram, plain = ~word, word & ~named.to_numpy()
+        value_of, by_hash = Lookup(key[gram], value[gram]), Lookup(key[plain], value[plain])
+        some = right.select(["token", "value"]).filter(named)
+        shared = dict(zip(some["token"].to_pylist(), some["value"].to_pylist(), strict=True))
+        count_of = _counts(by_hash, {}, shared)
         found = _scored(texts_of(left["text"]), order, count_of, value_of)
         return pa.table({"doc_id": left["doc_id"], "held_out": left["held_out"], **found})
 
@@ -434,7 +443,7 @@ def lm_scores(
 
 
 GRAMS, TOKENS = "block long, gram long, n long", "block long, token binary, n long"
-ASKED = "block long, gram long, token binary"
+ASKED = "block long, word boolean, key long"
 
 
 def _values(total: DataFrame, order: int) -> DataFrame:
@@ -467,13 +476,14 @@ def _by_blocks(rows: DataFrame, values: DataFrame, vocabulary: DataFrame, order:
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).repartition("block")
     sorted_ = dealt.select("block", "text", F.lit(False).alias("training")).sortWithinPartitions("block")
     asked = cut(sorted_.mapInArrow(_asked(order), ASKED).distinct(), "lm-asked")
-    asked_grams = asked.where("token IS NULL").select("block", "gram").join(values, "gram")
-    asked_grams = asked_grams.select("block", "gram", F.lit(None).cast("binary").alias("token"), "value")
-    asked_words = asked.where("gram IS NULL").select("block", "token").join(vocabulary, "token").select(
-        "block", F.lit(None).cast("long").alias("gram"), "token", F.col("c").cast("double").alias("value")
-    )
+    found = asked.where("NOT word").join(values.withColumnRenamed("gram", "key"), "key")
+    grams_ = found.select("block", "word", "key", F.lit(None).cast("binary").alias("token"), "value")
+    # The token itself goes along only where unlike tokens share a hash.
+    named = F.when(F.count(F.lit(1)).over(Window.partitionBy("hash")) > 1, F.col("token"))
+    counted = vocabulary.select(F.col("hash").alias("key"), named.alias("token"), F.col("c").cast("double").alias("value"))
+    words = asked.where("word").join(counted, "key").select("block", "word", "key", "token", "value")
     return (
         dealt.groupBy("block")
-        .cogroup(asked_grams.unionByName(asked_words).groupBy("block"))
+        .cogroup(grams_.unionByName(words).groupBy("block"))
         .applyInArrow(_score_block(order), SCORES)
     )

@@ -7,6 +7,7 @@ from hashlib import sha256
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -537,6 +538,21 @@ def test_lm_edges(edges, nothing, most):
     assert ppm.lm_scores(nothing, most_grams=most).count() == 0
 
 
+def test_words_that_share_a_hash():
+    """Where unlike tokens share a hash a block is told the tokens themselves."""
+    words = ppm.tokens("ab cd ab")
+    gram = np.union1d(ppm.grams(words), ppm.grams([ppm.STOP]))
+    rows = [(False, int(g), None, -1.0) for g in gram]
+    signed = lambda w: int(np.array(ppm._hash(w), np.uint64).view(np.int64))
+    rows += [(True, signed(b"ab"), b"ab", 3.0), (True, signed(b"ab"), b"other", 9.0)]
+    rows += [(True, signed(w), None, n) for w, n in ((b"cd", 0.0), (ppm.STOP, 1.0))]
+    right = pa.table(dict(zip(("word", "key", "token", "value"), map(list, zip(*rows, strict=True)), strict=True)))
+    left = pa.table({"doc_id": [1, 2], "held_out": [False, True], "text": ["ab cd AB", None]})
+    found = ppm._score_block(ppm.ORDER)(left, right).to_pylist()
+    assert [(r["n_tokens"], r["n_known"], r["score"]) for r in found] == [(4, 3, -9.0), (1, 1, -1.0)]
+    assert found[0]["base"] == pytest.approx(2 * np.log10(3.5) + np.log10(0.5) + np.log10(1.5))
+
+
 def test_lm_without_training_texts(spark):
     ids = [i for i in range(50) if zlib.crc32(str(i).encode()) % 5 == 1]
     df = spark.createDataFrame([(i, "ab") for i in ids], "doc_id long, text string")
