@@ -192,27 +192,26 @@ def _hash(word: bytes) -> int:
 
 
 def _asked(order: int):
-    """Rows (block, word, key): the grams, and the hashes of the words, that each block's texts
-    hold, from texts sorted by block."""
+    """Rows (block, word, key): the distinct grams, and hashes of words, of each block's texts,
+    from texts sorted by block. What is held is as much as scoring the block holds."""
 
-    def rows(block: int, held: list[np.ndarray], words: set[bytes]) -> Iterator[pa.RecordBatch]:
-        gram = np.unique(np.concatenate(held))
-        hashes = np.array([_hash(w) for w in words], np.uint64).view(np.int64)
-        word = np.arange(len(gram) + len(hashes)) >= len(gram)
-        return _sliced([np.full(len(word), block), word, np.r_[gram, hashes]], ["block", "word", "key"])
+    def merged(held: list[np.ndarray], most: int) -> list[np.ndarray]:
+        """One array without repeats, once the others together exceed it and that many."""
+        if sum(map(len, held[1:])) <= max(most, len(held[0])):
+            return held
+        return [np.unique(np.concatenate(held))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, parts in _by_block(batches):
-            held, words = [], set()
+            gram, word = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for texts, _ in parts:
                 split = [tokens(t) for t in texts]
-                words.update(*split)
-                held.append(np.unique(np.concatenate([grams(w, order) for w in split])))
-                if sum(map(len, held)) > 10 * HELD or len(words) > HELD:
-                    yield from rows(block, held, words)
-                    held, words = [], set()
-            if held:
-                yield from rows(block, held, words)
+                gram = merged([*gram, np.unique(np.concatenate([grams(w, order) for w in split]))], 10 * HELD)
+                hashes = [_hash(w) for w in set().union(*split)]
+                word = merged([*word, np.array(hashes, np.uint64).view(np.int64)], HELD)
+            for some, is_word in ((gram, False), (word, True)):
+                key = np.unique(np.concatenate(some))
+                yield from _sliced([np.full(len(key), block), np.full(len(key), is_word), key], ["block", "word", "key"])
 
     return run
 
@@ -475,7 +474,7 @@ def _by_blocks(rows: DataFrame, values: DataFrame, vocabulary: DataFrame, order:
     blocks = max(1, math.ceil(chars / BLOCK_CHARS))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).repartition("block")
     sorted_ = dealt.select("block", "text", F.lit(False).alias("training")).sortWithinPartitions("block")
-    asked = cut(sorted_.mapInArrow(_asked(order), ASKED).distinct(), "lm-asked")
+    asked = cut(sorted_.mapInArrow(_asked(order), ASKED), "lm-asked")
     found = asked.where("NOT word").join(values.withColumnRenamed("gram", "key"), "key")
     grams_ = found.select("block", "word", "key", F.lit(None).cast("binary").alias("token"), "value")
     # The token itself goes along only where unlike tokens share a hash.
