@@ -13,6 +13,12 @@ from quillon.sources.tables import shared_dir
 
 #: Rows of one Arrow batch sent to a Python worker; with texts this bounds a batch to a few MB.
 BATCH_ROWS = 512
+#: For tables in a folder of ``file:``, where Hadoop without its native library starts several chmod
+#: processes for each file and for its checksum file. Until it runs its program such a process shares
+#: all of the executor's memory, which counts twice meanwhile. Checksums are in the Parquet pages.
+PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+WRITTEN = PLAIN_FILES | {"compression": "zstd", "parquet.page.write-checksum.enabled": "true"}
+READ = {"parquet.page.verify-checksum.enabled": "true"}
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -36,12 +42,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
     Lineage ends here: a lost executor costs no recomputation of what came before, and rows
     used twice are made once. All tables of an application lie in one folder, which can go when
-    its results have been written.
+    its results have been written. Pages whose bytes changed fail the read.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillon-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.options(**WRITTEN).parquet(path)
+    return spark.read.options(**READ).schema(df.schema).parquet(path)
 
 
 def texts_of(column: pa.ChunkedArray | pa.Array) -> list[str]:

@@ -4,6 +4,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 from hashlib import sha256
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillon.llm import ann_tree, jaccard_join, line_dedup, mixing, ppm, secrets, toxicity
+from quillon.llm.common import cut
 
 SF = "/root/testdata/sf0.001"
 
@@ -564,6 +566,19 @@ def test_lm_without_training_texts(spark):
 # -- pipeline
 
 
+def test_tables_between_steps_lie_without_checksum_files(spark):
+    """Each such file costs its executor a process more; changed bytes must fail the read all the same."""
+    table = cut(spark.range(0, 4000, 1, 2).selectExpr("id", "unhex(sha2(string(id), 256)) AS noise"), "plain")
+    assert table.agg({"id": "sum"}).first()[0] == 3999 * 2000
+    files = [Path(name.removeprefix("file://")) for name in table.inputFiles()]
+    assert files and not list(files[0].parent.glob(".*.crc"))
+    data = bytearray(files[0].read_bytes())
+    data[len(data) // 2] ^= 1
+    files[0].write_bytes(data)
+    with pytest.raises(Exception, match="(?i)crc|checksum"):
+        table.select("noise").collect()
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     before = docs
