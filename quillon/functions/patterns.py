@@ -157,29 +157,33 @@ SPEC = re.compile(r"(?:(.)?([<>^=]))?([-+ ])?(0)?(\d+)?([,_])?(?:\.(\d+))?([bdeE
 
 def _digits(v: Value, places: int) -> Column:
     """A number's size as text with so many places, rounded as Python does: the exact value, ties
-    to even. A double is its 53 bits over a power of two, so its exact value is weighed in whole
-    numbers; those too large or too small for that are rounded from their shortest form."""
+    to even. A double times a power of ten is a double and, exactly, what that one lacks, which
+    decides where the first is halfway between two whole numbers; those with more digits than a
+    double holds are rounded from their shortest form."""
     if not isinstance(v.type, T.DoubleType):
         return F.abs(F.bround(v.col.cast(T.DecimalType(38, 18)), places)).cast(T.DecimalType(38, places)).cast(STR)
-    whole = T.DecimalType(38, 0)
     size = F.abs(v.col)
-    shift = F.lit(61) - F.floor(F.log2(F.when(size > 0, size).otherwise(1.0))).cast("int")
-    fits = (size == 0) | ((size >= 1e-12) & (size * 10.0**places < 9e15) & (shift <= 120))
-    top = (size * F.pow(F.lit(2.0), shift)).cast("long").cast(T.DecimalType(19, 0)) * F.lit(10**places).cast(T.DecimalType(19, 0))
-    low = F.pow(F.lit(2.0), F.least(shift, F.lit(60))).cast("long").cast(T.DecimalType(19, 0)) * F.pow(
-        F.lit(2.0), F.greatest(shift - 60, F.lit(0))
-    ).cast("long").cast(T.DecimalType(19, 0))
-    top, low = top.cast(whole), low.cast(whole)
-    quotient = F.call_function("div", top, low)
-    twice = ((top % low) * 2).cast(whole)
-    up = (twice > low) | ((twice == low) & (quotient % 2 == 1))
-    units = F.lpad((quotient + up.cast("long")).cast(STR), F.greatest(F.lit(places + 1), F.length(quotient.cast(STR)) + 1), "0")
-    units = F.regexp_replace(units, f"^0+(?=.{{{places + 1}}})", "")
-    exact = units
+    shortest = F.format_string(f"%.{places}f", size)
+    if places > 15:
+        return shortest
+    scaled = size * 10.0**places
+    halfway = F.abs(scaled - F.rint(scaled)) == 0.5
+    units = F.rint(F.when(halfway, scaled + F.signum(_lacks(size, 10.0**places)) * 0.5).otherwise(scaled)).cast("long")
+    exact = units.cast(STR)
     if places:
-        cut_ = F.length(exact) - places
-        exact = F.concat(F.substr(exact, F.lit(1), cut_), F.lit("."), F.substr(exact, cut_ + 1))
-    return F.when(fits & (F.lit(places) <= 15), exact).otherwise(F.format_string(f"%.{places}f", size))
+        whole = F.call_function("div", units, F.lit(10**places))
+        exact = F.concat(whole.cast(STR), F.lit("."), F.lpad((units % 10**places).cast(STR), places, "0"))
+    return F.when(scaled < 9e15, exact).otherwise(shortest)
+
+
+def _lacks(a: Column, b: float) -> Column:
+    """What the double a * b lacks of the exact product: both are cut in halves whose products are exact."""
+    cut_at = 2.0**27 + 1
+    b_high = cut_at * b - (cut_at * b - b)
+    b_low = b - b_high
+    a_high = a * cut_at - (a * cut_at - a)
+    a_low = a - a_high
+    return a_high * b_high - a * b + a_high * b_low + a_low * b_high + a_low * b_low
 
 
 def _grouped(digits: Column, mark: str) -> Column:

@@ -362,3 +362,27 @@ def test_formats_round_as_python_does(spark, spec, value):
 
     col = patterns.formatted(Value(F.col("x"), FLOAT), spec)
     assert spark.createDataFrame([(value,)], "x double").select(col.alias("s")).first().s == format(value, spec)
+
+
+@pytest.mark.parametrize("places", [0, 2, 3, 9, 15])
+def test_formats_round_exact_values(spark, places):
+    """Halfway texts and the doubles beside them, from the smallest sizes to the most digits a double holds."""
+    import math
+
+    from quillon.functions import patterns
+    from quillon.functions.values import FLOAT, Value
+
+    halfway = [(n * 10 + 5) / 10 ** (places + 1) for k in range(16) for n in (0, 1, 2, 7 * 10**k + 3, 10**k + 4)]
+    values = [x for h in halfway for x in (h, math.nextafter(h, 0), math.nextafter(h, math.inf)) if x * 10.0**places < 9e15]
+    df = spark.createDataFrame([(x,) for x in [*values, 0.0, -0.125, 5e-324]], "x double")
+    found = df.select("x", patterns.formatted(Value(F.col("x"), FLOAT), f".{places}f").alias("s")).collect()
+    assert [r.s for r in found] == [format(r.x, f".{places}f") for r in found]
+
+
+def test_formats_stay_small_trees(spark):
+    """A number's text is used several times over; written out, it was 150 KB for seven numbers."""
+    from quillon.functions import patterns
+    from quillon.functions.values import FLOAT, Value
+
+    df = spark.range(1).selectExpr("id * 1.5D AS x").select(patterns.formatted(Value(F.col("x"), FLOAT), "^+16,.3f").alias("s"))
+    assert len(df._jdf.queryExecution().analyzed().toString()) < 40_000
