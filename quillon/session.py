@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quillon.functions.expressions import Expr, Lit
 from quillon.functions.values import INT, QueryError, spark_type
@@ -155,7 +157,14 @@ class Session:
             for r in rows
         ]
         schema = T.StructType([T.StructField(n, k) for n, k in zip(heading, kinds, strict=True)])
-        return Relation(self.spark.createDataFrame(list(dict.fromkeys(made)), schema), distinct=True, session=self)
+        # As an Arrow table, so that the planner knows its size. A list becomes an RDD, which counts
+        # as larger than any table: joins then sort the other side, a key's rows in one task.
+        columns = list(zip(*dict.fromkeys(made), strict=True)) or [()] * len(heading)
+        try:
+            arrow = [pa.array(c, to_arrow_type(k)) for c, k in zip(columns, kinds, strict=True)]
+        except OverflowError as problem:
+            raise QueryError("a whole number of a literal has more than 64 bits") from problem
+        return Relation(self.spark.createDataFrame(pa.table(arrow, names=heading), schema), distinct=True, session=self)
 
     def _step(self, left: Relation, node: Rel) -> Relation:
         args = dict(node.args)

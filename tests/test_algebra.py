@@ -209,6 +209,15 @@ def test_strings(rows):
         rows(f'{one} +: x: s .s "nothing"')
 
 
+def test_literals_keep_their_values(sample, rows):
+    row = "9007199254740993 1 \"o'\\\"\u00e9`\" true"
+    found = rows(f'{{n x s b; {row}; {row}; -1 2.5 "" false}}')
+    assert found == [(False, -1, "", 2.5), (True, 9007199254740993, "o'\"\u00e9`", 1.0)]
+    assert dict(sample.run("{a b}").df.dtypes) == {"a": "string", "b": "string"} and rows("{a b}") == []
+    with pytest.raises(QueryError):
+        rows("{n; 99999999999999999999}")
+
+
 def test_format(rows):
     found = rows('{n x s; 7 1234.5 "ab"} +: t: "{n:03d}|{x:,.2f}|{s:>4}|{s:<4}|{s:^4}|{n}|{x:.1%}" .f # t')
     assert found == [("007|1,234.50|  ab|ab  | ab |7|123450.0%",)]

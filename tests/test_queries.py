@@ -87,3 +87,16 @@ def test_no_stage_gathers_all_rows(spark, name):
     rows = [x for x in plan.split("\n") if "Exchange SinglePartition" in x]
     assert all("plan_id" in x for x in rows)
     assert "CartesianProduct" not in plan
+
+
+def test_literals_are_broadcast_not_their_partners(spark, tables):
+    """Five priorities: joined by sorting, a fifth of all orders is one task's."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1k")
+    try:
+        literal = '{o_orderpriority weight; "1-URGENT" 5; "2-HIGH" 3}'
+        for join in (f"{literal} *. orders", f"orders *. ({literal})", f"orders *< ({literal}) [weight: 0]"):
+            df = tables.run(join).df
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "LocalTableScan" in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
